@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +31,66 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode_chunks(path: str, chunks: list[str]) -> list[list[int]]:
-    """Ids of each chunk. The pre-tokens of word_bpe_49k never span blanks, so a text's ids are those of its chunks in order."""
-    t = tokenizer(path)
-    t.no_truncation()
-    t.no_padding()
-    return [e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
+#: Words whose ids a worker process keeps.
+WORDS_KEPT = 800_000
+#: Chunks that are a word of letters, which lower-casing keeps single and composed, and marks that no contraction begins with.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?%&$#*;:]*)")
+
+
+class ChunkEncoder:
+    """Ids of chunks as packed unsigned numbers of `unit`.
+
+    The pre-tokens of word_bpe_49k never span blanks, so a text's ids are those of its chunks in order. Most chunks are a word
+    and marks, two pre-tokens; the ids of words and marks are kept, and new words are encoded together, as each ends with a
+    token that is marked as a word's end. Every other chunk is encoded by itself.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.unit = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for t, k in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.unit).tobytes()
+
+    def _direct(self, chunks: list[str]) -> list[bytes]:
+        return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) + len(words) > WORDS_KEPT:
+            self.words.clear()
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.unit)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.unit.itemsize
+            if len(cuts) != len(part):
+                self.words.update(zip(part, self._direct(part), strict=True))
+                continue
+            flat, a = ids.tobytes(), 0
+            for w, b in zip(part, cuts.tolist(), strict=True):
+                self.words[w] = flat[a:b]
+                a = b
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        parts = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(c)) else None for c in chunks]
+        self._learn(list({p[0] for p in parts if p}.difference(self.words)))
+        if marks := list({p[1] for p in parts if p}.difference(self.marks)):
+            self.marks.update(zip(marks, self._direct(marks), strict=True))
+        rest = iter(self._direct([c for c, p in zip(chunks, parts, strict=True) if not p]))
+        return [self.words[p[0]] + self.marks[p[1]] if p else next(rest) for p in parts]
+
+
+@functools.cache
+def encoder(path: str) -> ChunkEncoder:
+    """One a process, so that what it has learnt serves all tasks there."""
+    return ChunkEncoder(path)
 
 
 def _summaries(batches):
@@ -58,7 +114,8 @@ def frequent_lengths(docs: DataFrame, path: str, size: int = FREQUENT) -> dict[s
     """
     tops = docs.select("text").mapInArrow(_summaries, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
     chunks = [r.chunk for r in tops.orderBy(F.desc("n"), "chunk").limit(size).select("chunk").collect()]
-    return {"": 0} | {c: len(ids) for c, ids in zip(chunks, encode_chunks(path, chunks), strict=True)}
+    own = encoder(path)
+    return {"": 0} | {c: len(ids) // own.unit.itemsize for c, ids in zip(chunks, own.encode(chunks), strict=True)}
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,7 +129,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     sent = spark.sparkContext.broadcast(frequent_lengths(rows, path))
 
     def count(batches):
-        lengths = ChunkTable(lambda new: map(len, encode_chunks(path, new)), sent.value)
+        own = encoder(path)
+        lengths = ChunkTable(lambda new: [len(x) // own.unit.itemsize for x in own.encode(new)], sent.value)
         for b in batches:
             texts = b.column(1).to_pylist()
             lists = [*map(chunks_of, texts)]
