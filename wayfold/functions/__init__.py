@@ -1,0 +1 @@
+"""Column functions, and their registration for SQL."""

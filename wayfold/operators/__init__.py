@@ -1,0 +1 @@
+"""Ride operators on DataFrames."""

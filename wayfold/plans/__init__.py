@@ -1,0 +1 @@
+"""Queries, each with its SQL for DuckDB."""

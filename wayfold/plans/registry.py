@@ -1,4 +1,6 @@
-"""Queries over the reference tables and their SQL."""
+"""Queries over the ride tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from wayfold.plans import clusters, network  # noqa: F401  (they register their queries)
+from wayfold.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
