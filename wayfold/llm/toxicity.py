@@ -145,8 +145,29 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float
     return w[:-1], float(w[-1])
 
 
-def fit_svm(texts: list[tuple[int, list[str]]], landmarks: int = 150, rounds: int = 4) -> SubsequenceSvm:
-    """From (label, units) of labelled texts. One text in five sets the slope and shift that turn margins into chances.
+def _chances(margin: np.ndarray, label: np.ndarray, cut: float) -> tuple[float, float]:
+    """Slope and shift: the slope by logistic regression, the shift such that `cut` is the chance at the margin of best F1 (the middle of its gap)."""
+    hits, rest = label.sum(), len(label) - label.sum()
+    target = np.where(label > 0, (hits + 1) / (hits + 2), 1 / (rest + 2))
+    a, c = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * margin + c, -30, 30)))
+        x = np.stack([margin, np.ones_like(margin)])
+        h = (x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x @ (target - p) - 1e-3 * np.array([a, c]))
+        a, c = a + np.clip(step[0], -1, 1), c + np.clip(step[1], -1, 1)
+    a = max(a, 0.5)
+    order = np.argsort(-margin, kind="stable")
+    f1 = 2 * np.cumsum(label[order]) / (np.arange(1, len(label) + 1) + hits)
+    best = int(np.argmax(f1))
+    low = margin[order[best + 1]] if best + 1 < len(order) else margin[order[best]] - 1
+    return a, math.log(cut / (1 - cut)) - a * (margin[order[best]] + low) / 2
+
+
+def fit_svm(texts: list[tuple[int, list[str]]], landmarks: int = 150, rounds: int = 4, cut: float = 0.3, most_units: int = 80_000) -> SubsequenceSvm:
+    """From (label, units) of labelled texts; of the units of clean texts at most `most_units` by hash are taught.
+
+    One text in five sets the slope and shift that turn margins into chances.
 
     Without texts of both labels every text gets the share of toxic ones as its chance.
     """
@@ -188,7 +209,7 @@ def fit_svm(texts: list[tuple[int, list[str]]], landmarks: int = 150, rounds: in
 
     value, vector = np.linalg.eigh(kernel(marks).astype(float))
     root = (vector / np.sqrt(np.maximum(value, 1e-3))).astype(np.float32)
-    pool = sorted(known)
+    pool = spread(known)[:most_units]
     below = kernel(pool) @ root
     names = sorted(set().union(*toxic) - known)
     place = {u: n for n, u in enumerate(names)}
@@ -212,17 +233,8 @@ def fit_svm(texts: list[tuple[int, list[str]]], landmarks: int = 150, rounds: in
     held = [b for n, b in enumerate(bags) if n % 5 == 0]
     margin = np.array([svm.margins(sorted(s) or [""]).max() for _, s in held])
     label = np.array([y for y, _ in held], float)
-    hits, rest = label.sum(), len(label) - label.sum()
-    if hits and rest:
-        target = np.where(label > 0, (hits + 1) / (hits + 2), 1 / (rest + 2))
-        a, c = 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(a * margin + c, -30, 30)))
-            x = np.stack([margin, np.ones_like(margin)])
-            h = (x * (p * (1 - p))) @ x.T + 1e-3 * np.eye(2)
-            step = np.linalg.solve(h, x @ (target - p) - 1e-3 * np.array([a, c]))
-            a, c = a + np.clip(step[0], -1, 1), c + np.clip(step[1], -1, 1)
-        svm.slope, svm.shift = max(a, 0.1), c
+    if 0 < label.sum() < len(label):
+        svm.slope, svm.shift = _chances(margin, label, cut)
     return svm
 
 

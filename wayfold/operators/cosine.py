@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +30,11 @@ def dense_pairs(vectors: DataFrame, threshold: float = 0.7) -> DataFrame:
 
     Exact: every pair is compared, a block of vectors with a block, so a task holds two blocks and no pair is a row before it passes.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    spark = vectors.sparkSession
     blocks = max(1, -(-vectors.count() // 2000))
     v = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", F.expr("transform(embedding, x -> double(x))").alias("e")).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     dealt = v.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "vec_id", "e")
 
-    def compare(key, data: pa.Table) -> pa.Table:
+    def compare(key: tuple, data: pa.Table) -> pa.Table:
         x = np.array(data.column("e").to_pylist())
         ids, own = data.column("vec_id").to_numpy(), data.column("own").to_numpy()
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
@@ -47,5 +45,4 @@ def dense_pairs(vectors: DataFrame, threshold: float = 0.7) -> DataFrame:
         keep = a < b if key[0].as_py() == key[1].as_py() else np.ones(len(a), bool)
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cos": cos[r, c][keep]})
 
-    assert spark is not None
     return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, cos double")
