@@ -71,7 +71,7 @@ class Scheme:
             return s
         m = mix(s)
         with np.errstate(over="ignore"):
-            if n <= self.light and self.lost(n):
+            if n <= self.light and self.lost(100 * n // self.percent):  # if a linked set can be larger
                 total = m.sum()
                 for d in range(self.lost(n) + 1):
                     gone = m[np.array(list(itertools.combinations(range(n), d)), np.int64).reshape(-1, d)].sum(1, dtype=np.uint64) if d else np.zeros(1, np.uint64)
