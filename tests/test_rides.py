@@ -197,4 +197,4 @@ def test_batches_below_the_gate_wait(spark, tmp_path):
 
 
 def test_fixtures_agree_on_edges(spark, con):
-    assert fx.road_edge(spark, SF).count() == con.sql(fx.SQL + "SELECT count(*) FROM road_edge").fetchone()[0] == 692
+    assert fx.road_edge(spark, SF).count() == con.sql(fx.SQL + "SELECT count(*) FROM road_edge").fetchall()[0][0] == 692
