@@ -164,7 +164,7 @@ def _chances(margin: np.ndarray, label: np.ndarray, cut: float) -> tuple[float,
     return a, math.log(cut / (1 - cut)) - a * (margin[order[best]] + low) / 2
 
 
-def fit_svm(texts: list[tuple[int, list[str]]], landmarks: int = 150, rounds: int = 4, cut: float = 0.3, most_units: int = 80_000) -> SubsequenceSvm:
+def fit_svm(texts: list[tuple[int, list[str]]], landmarks: int = 150, rounds: int = 4, cut: float = 0.3, most_units: int = 60_000) -> SubsequenceSvm:
     """From (label, units) of labelled texts; of the units of clean texts at most `most_units` by hash are taught.
 
     One text in five sets the slope and shift that turn margins into chances.
