@@ -14,4 +14,4 @@ QUERIES = {
     "op9_ngram_join": setjoin.op9_ngram_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-ORACLE_SQL = {"op1_chat_format": chat.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op9_ngram_join": setjoin.OP9_SQL}
+ORACLE_SQL = {"op1_chat_format": chat.OP1_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op8_substring_dedup": substring.OP8_SQL, "op9_ngram_join": setjoin.OP9_SQL}

@@ -113,3 +113,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     out = out.where("_gone IS NULL OR trim(text) <> ''").withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS para FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+a AS (SELECT *, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY para ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
+w AS (SELECT doc_id * 100000 + para AS id, doc_id, para, start, length(p) AS length, [x FOR x IN string_split_regex(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM a),
+s AS (SELECT * EXCLUDE (ws), list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) AS sh FROM w WHERE len(ws) >= 25),
+e AS (SELECT id, len(sh) AS n, unnest(sh) AS x FROM s),
+q AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(id, c) AS (SELECT id, id FROM s WHERE id IN (SELECT a FROM q) UNION SELECT r.id, q.b FROM r JOIN q ON q.a = r.c),
+k AS (SELECT id, min(c) AS kept FROM r GROUP BY id)
+SELECT doc_id, para::INT AS para, start::INT AS start, length::INT AS length, kept // 100000 AS kept_doc_id, (kept % 100000)::INT AS kept_para, id = kept AS kept FROM s JOIN k USING (id)
+"""
