@@ -239,6 +239,6 @@ def mips_pairs(spark, d):
     return cosine.sparse_pairs(net.checkpointed(_features(spark, d))).select("user_id", "cand_id", R("cos"))
 
 
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cos FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.7")
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cos FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.35")
 def embedding_cosine_pairs(spark, d):
-    return cosine.dense_pairs(fx.table(spark, d, "embeddings")).select("a", "b", R("cos"))
+    return cosine.dense_pairs(fx.table(spark, d, "embeddings"), 0.35).select("a", "b", R("cos"))
