@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.network import checkpointed
+
+
+def numbered(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
+    """Adds each row's position from 1 in the order given, over all rows, without bringing them into one task.
+
+    Rows are range-partitioned and sorted; a partition's rows are numbered by themselves, after the rows of those before it.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = checkpointed(rows)
+    counts = {r["_part"]: r["n"] for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    before, total = [], 0
+    for p in sorted(counts):
+        before.append((p, total))
+        total += counts[p]
+    base = df.sparkSession.createDataFrame(before, "_part int, _base long")
+    return rows.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_at") + 1).select(*df.columns, name)
+
 
 def first_writes(events: DataFrame) -> DataFrame:
     """The first add of each user wins."""

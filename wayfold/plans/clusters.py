@@ -162,18 +162,9 @@ def group_status(spark, d):
 
 @query(G_SQL + "SELECT group_id, (row_number() OVER (ORDER BY group_id) - 1) % 4 AS colour FROM grp")
 def group_color(spark, d):
-    """Colours go round by a group's position among all: counted within range partitions, then offset by the partitions before."""
-    g = groups(spark, d).select("group_id").repartitionByRange("group_id").sortWithinPartitions("group_id").withColumn("p", F.spark_partition_id()).withColumn("o", F.monotonically_increasing_id())
-    from wayfold.operators.network import checkpointed
-
-    g = checkpointed(g)
-    counts = {r.p: r.n for r in g.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for p in sorted(counts):
-        before.append((p, total))
-        total += counts[p]
-    base = spark.createDataFrame(before, "p int, base long")
-    return g.join(F.broadcast(base), "p").select("group_id", ((F.col("base") + F.col("o").bitwiseAND(F.lit((1 << 33) - 1))) % 4).alias("colour"))
+    """Colours go round by a group's position among all."""
+    g = st.numbered(groups(spark, d).select("group_id"), "group_id")
+    return g.select("group_id", ((F.col("position") - 1) % 4).alias("colour"))
 
 
 @query(G_SQL + "SELECT user_id, group_id, array_to_string([x FOR x IN users IF x <> user_id], ',') AS companions FROM (SELECT *, unnest(users) AS user_id FROM grp)")
@@ -228,19 +219,15 @@ def ingest_union(spark, d):
 
 @query("SELECT user_id, stored_at, row_number() OVER (ORDER BY stored_at DESC, user_id) AS position FROM ride_request")
 def locations_by_recency(spark, d):
-    from pyspark.sql import Window
-
     r = fx.ride_request(spark, d).select("user_id", F.col("stored_at").cast("timestamp_ntz").alias("stored_at"))
-    return r.withColumn("position", F.row_number().over(Window.orderBy(F.desc("stored_at"), "user_id")).cast("long"))
+    return st.numbered(r, F.desc("stored_at"), F.col("user_id"))
 
 
 @query("SELECT user_id, row_number() OVER (ORDER BY stored_at, user_id) AS arrival FROM ride_request WHERE user_id % 7 = 0")
 def pending_users(spark, d):
     """Requests that are in no group yet, in the order of arrival."""
-    from pyspark.sql import Window
-
     r = fx.ride_request(spark, d).join(fx.ride_group(spark, d).select("user_id"), "user_id", "left_anti").where("status = 'pending'")
-    return r.select("user_id", F.row_number().over(Window.orderBy("stored_at", "user_id")).cast("long").alias("arrival"))
+    return st.numbered(r.select("user_id", "stored_at"), "stored_at", "user_id", name="arrival").drop("stored_at")
 
 
 @query("SELECT nation, count(*) AS pending FROM ride_request WHERE user_id % 7 = 0 GROUP BY nation HAVING count(*) >= 3")
