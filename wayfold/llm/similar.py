@@ -182,9 +182,9 @@ def _block_pairs(left: DataFrame, percent: int) -> DataFrame:
 def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2) -> DataFrame:
     """(h, comp) of the nodes that are linked to others.
 
-    `signatures` has (sig, h); `sets_of` gives (h, s: the sorted set, 64-bit values as bytes) for a table of nodes (h).
+    `signatures` has (sig, h) and is read twice, so it should come from a table; `sets_of` gives (h, s: the sorted set, 64-bit
+    values as bytes) for a table of nodes (h).
     """
-    signatures = written(signatures, "sig")
     lists = signatures.groupBy("sig").agg(F.min("h").alias("hub"), F.max("h").alias("_top")).where("hub <> _top").drop("_top")
     members = written(signatures.join(lists, "sig").select("sig", "h", "hub").distinct(), "lists")
     sets = written(sets_of(members.select("h").distinct()), "sets")

@@ -62,34 +62,49 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5, min_w
     kind = rows.schema["doc_id"].dataType.simpleString()
     bands, per = bands_for(percent / 100)
 
+    def shingled(known, ids, texts):
+        """Documents, (number, start, length) and shingle sets of the paragraphs of a batch."""
+        names, found, lists = [], [], []
+        for d, text in zip(ids, texts, strict=True):
+            for n, at, p in paragraphs_of(text):
+                words = words_of(p)
+                if len(words) >= min_words:
+                    names.append(d)
+                    found.append((n, at, len(p)))
+                    lists.append(words)
+        known.learn(lists)
+        return names, found, [*shingle_sets(lists, known, size)]
+
     def shingle(batches):
         known = word_table()
         for b in batches:
-            names, found, lists = [], [], []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for n, at, p in paragraphs_of(text):
-                    words = words_of(p)
-                    if len(words) >= min_words:
-                        names.append(d)
-                        found.append((n, at, len(p)))
-                        lists.append(words)
-            known.learn(lists)
-            sets = [*shingle_sets(lists, known, size)]
+            names, found, sets = shingled(known, b.column(0).to_pylist(), b.column(1).to_pylist())
             hashes = [set_hashes(s) for s in sets]
             sigs = _minhash_bands(sets, bands, per)
             ints = [pa.array([f[k] for f in found], pa.int32()) for k in range(3)]
             longs = [pa.array([x[k] for x in hashes], pa.int64()) for k in (0, 1)]
             ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, b.column(0).type), *ints, *longs, pa.ListArray.from_arrays(ends, pa.array(sigs.ravel(), pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["doc_id", "para", "start", "length", "h", "h2", "sigs", "s"],
+                [pa.array(names, b.column(0).type), *ints, *longs, pa.ListArray.from_arrays(ends, pa.array(sigs.ravel(), pa.int64()))],
+                ["doc_id", "para", "start", "length", "h", "h2", "sigs"],
             )
 
-    made = written(rows.mapInArrow(shingle, f"doc_id {kind}, para int, start int, length int, h long, h2 long, sigs array<long>, s binary"), "paragraphs")
+    made = written(rows.mapInArrow(shingle, f"doc_id {kind}, para int, start int, length int, h long, h2 long, sigs array<long>"), "paragraphs")
     nodes = nodes_of(made, "doc_id", "para")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return made.select("h", "s").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("s").alias("s"))
+        """Made again from the text of one document of each node: the sets of all paragraphs are never stored."""
+        ids = nodes.join(wanted, "h", "left_semi").select(F.col("first.doc_id").alias("doc_id"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+
+        def again(batches):
+            known = word_table()
+            for b in batches:
+                hs = [set(x) for x in b.column(0).to_pylist()]
+                owners, _, sets = shingled(known, range(len(hs)), b.column(1).to_pylist())
+                keep = [(h, s.tobytes()) for k, s in zip(owners, sets, strict=True) if (h := set_hashes(s)[0]) in hs[k]]
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keep], pa.int64()), pa.array([s for _, s in keep], pa.binary())], ["h", "s"])
+
+        return rows.join(ids, "doc_id").select("hs", "text").mapInArrow(again, "h long, s binary").dropDuplicates(["h"])
 
     comps = components(made.select(F.explode("sigs").alias("sig"), "h"), sets_of, percent)
     named = nodes.join(comps, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
