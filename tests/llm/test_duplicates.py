@@ -148,6 +148,45 @@ def test_cut_repeats(spark):
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: (own[1], len(own[1])), 4: ("clean words", 11), 5: (None, 0)}
 
 
+def test_passages_inside_lines_are_cut(spark):
+    """A passage of 60 words within otherwise different lines, and one wrapped anew, stay once; a shorter one stays."""
+    rng = random.Random(7)
+    own = lambda n: " ".join(f"o{rng.randrange(100_000)}" for _ in range(n))
+    p, (a, b, c, d, e, f) = passages(3, 2), (own(80) for _ in range(6))
+    words, short = p[1].split(), own(49)
+    wrapped = "\n".join(" ".join(words[k : k + 9]) for k in range(0, 60, 9))
+    rows = [(1, f"{a} {p[0]} {b}"), (2, f"{c} {p[0].upper()} {d}"), (3, p[1]), (4, f"{e}\n{wrapped}\n{f}"), (5, f"{own(70)} {short} {own(70)}"), (6, f"{own(70)} {short} {own(70)}"), (7, "la " * 500)]
+    got = {r.doc_id: r.text for r in substring.cut_repeats(spark, frame(spark, rows), "").collect()}
+    want = dict(rows) | {2: f"{c} {d}", 4: f"{e}\n\n{f}"}
+    assert got.pop(7).startswith("la " * 49 + "la") and want.pop(7)
+    assert got == want
+
+
+def test_every_repeated_run_is_found(spark):
+    """Against all runs of 50 words, one by one."""
+    rng = random.Random(12)
+    bases = [[f"b{rng.randrange(9000)}" for _ in range(300)] for _ in range(4)]
+    docs = []
+    for k in range(30):
+        words = [f"d{k}_{x}" for x in range(rng.randrange(5, 60))]
+        for _ in range(rng.randrange(3)):
+            base, at = rng.choice(bases), rng.randrange(200)
+            words += base[at : at + rng.choice([49, 50, 51, 70, 100])] + [f"e{rng.randrange(10**6)}"]
+        docs.append((k, " ".join(words)))
+    where = {}
+    for k, t in docs:
+        w = t.split()
+        for s in range(len(w) - 49):
+            where.setdefault(tuple(w[s : s + 50]), []).append((k, s))
+    gone, stay = set(), set()
+    for places in where.values():
+        if len(places) > 1:
+            stay |= {(places[0][0], places[0][1] + x) for x in range(50)}
+            gone |= {(k, s + x) for k, s in places[1:] for x in range(50)}
+    got = {(r.doc_id, r.word + x) for r in substring.repeated_passages(frame(spark, docs)).collect() for x in range(r.words)}
+    assert got == gone - stay and len(got) > 100
+
+
 def test_bands_are_tuned():
     b, r = substring.bands_for(0.8)
     assert 1 - (1 - 0.8**r) ** b >= 0.9995 and b * r <= 96

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import table, text_of, written
+from wayfold.llm.common import row_key, table, text_of, written
 from wayfold.llm.setjoin import word_table, words_of
 from wayfold.llm.similar import components, mix, nodes_of, set_hashes, shingle_sets
 
@@ -120,13 +122,137 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(table(spark, sf_dir, "documents"))
 
 
+#: Words of the runs that fingerprints are taken of.
+GRAM = 20
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+
+
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of `size` word hashes, in constant time a run."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return words[:0]
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.r_[np.uint64(1), np.full(len(words) - 1, _BASE, np.uint64)])
+        down = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _UNBASE, np.uint64)])
+        sums = np.r_[np.uint64(0), np.cumsum(mix(words) * up)]
+        return mix((sums[size:] - sums[:-size]) * down)
+
+
+def picked(hashes: np.ndarray, among: int) -> np.ndarray:
+    """Places of the least of each `among` neighbouring hashes (ties: the last), so equal stretches of so many have one picked at the same place."""
+    if len(hashes) < among:
+        return np.zeros(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(hashes, among)
+    return np.unique(np.arange(len(views)) + among - 1 - views[:, ::-1].argmin(1))
+
+
+def repeated_passages(docs: DataFrame, run: int = 50) -> DataFrame:
+    """The passages that stand elsewhere too, in a document or over all: doc_id, word (number of the first), words (how many).
+
+    Every run of `run` words (of `words_of`, over line ends too) that occurs again is found, exactly but for collisions of
+    64-bit hashes. The occurrence first by doc_id and place stays whole; of the others, the words that no such first
+    occurrence covers are given. No pairs are made: fingerprints picked by content narrow the search to runs around those
+    that occur twice, which are then grouped by hash. Rows with a null doc_id are left out. Runs that differ in a word
+    are not repeats here.
+    """
+    rows = text_of(docs, "doc_id").where("doc_id IS NOT NULL")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    among = run - GRAM + 1
+
+    def hashed(known, texts):
+        lists = [*map(words_of, texts)]
+        known.learn(lists)
+        return [np.fromiter(map(known.__getitem__, x), np.uint64, len(x)) for x in lists]
+
+    def listed(ids, places, hashes):
+        ends = pa.array(np.r_[0, np.cumsum([len(x) for x in places])].astype(np.int32))
+        flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, hashes)]
+        return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, pa.array(flat[0], pa.int32())), pa.ListArray.from_arrays(ends, pa.array(flat[1], pa.int64()))], ["doc_id", "at", "h"])
+
+    def fingerprints(batches):
+        known = word_table()
+        for b in batches:
+            grams = [run_hashes(w, GRAM) for w in hashed(known, b.column(1).to_pylist())]
+            places = [picked(g, among) for g in grams]
+            yield listed(b.column(0), places, [g[p].view(np.int64) for g, p in zip(grams, places, strict=True)])
+
+    def runs(batches):
+        known = word_table()
+        for b in batches:
+            places, hashes = [], []
+            for w, at in zip(hashed(known, b.column(1).to_pylist()), b.column(2).to_pylist(), strict=True):
+                h = run_hashes(w, run)
+                near = np.unique((np.array(at, np.int64)[:, None] - np.arange(among)).ravel())
+                places.append(near := near[(near >= 0) & (near < len(h))])
+                hashes.append(h[near].view(np.int64))
+            yield listed(b.column(0), places, hashes)
+
+    def merged(batches):
+        for b in batches:
+            ids, starts, sizes = [], [], []
+            for k, marks in enumerate(b.column(1).to_pylist()):
+                cover = np.zeros(max(m["at"] for m in marks) + run + 1, np.int8)
+                for first in (False, True):
+                    for m in marks:
+                        if m["first"] == first:
+                            cover[m["at"] : m["at"] + run] = not first
+                edges = np.diff(np.r_[np.int8(0), cover])
+                own = np.flatnonzero(edges == 1)
+                ids += [k] * len(own)
+                starts += own.tolist()
+                sizes += (np.flatnonzero(edges == -1) - own).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int32())), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())], ["doc_id", "word", "words"])
+
+    def exploded(df):
+        return df.select("doc_id", F.explode(F.arrays_zip("at", "h")).alias("e")).select("doc_id", "e.at", "e.h")
+
+    schema = f"doc_id {kind}, at array<int>, h array<long>"
+    prints = exploded(written(rows.mapInArrow(fingerprints, schema), "fingerprints", "zstd"))
+    twice = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    near = prints.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    found = exploded(written(rows.join(near, "doc_id").select("doc_id", "text", "at").mapInArrow(runs, schema), "runs", "zstd"))
+    first = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("one"), F.count("*").alias("n")).where("n > 1")
+    marks = found.join(first, "h").select("doc_id", F.struct("at", (F.struct("doc_id", "at") == F.col("one")).alias("first")).alias("m"))
+    return marks.groupBy("doc_id").agg(F.collect_list("m").alias("marks")).mapInArrow(merged, f"doc_id {kind}, word int, words int")
+
+
+def without_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these runs of words (word, words); line ends around them stay."""
+    words, out, at = [m.span() for m in _WORD.finditer(text)], "", 0
+    for word, n in sorted(spans):
+        out += text[at : words[word][0]]
+        at = words[word + n - 1][1]
+        if not out or out[-1] in " \n":
+            at += len(text[at:]) - len(text[at:].lstrip(" "))
+    return out + text[at:]
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeats are cut out of the texts; a document of which only blanks are left goes. n_chars follows the text."""
-    gone = repeated_paragraphs(docs).where("NOT kept").groupBy("doc_id").agg(F.collect_set("para").alias("_gone"))
+    """Pipeline stage: repeats are cut out of the texts; a document of which only blanks are left goes. n_chars follows the text.
+
+    First the lines that are alike to others go, then what is left of passages of 50 words or more that stand elsewhere word
+    for word, within lines or over several. Rows are told apart by doc_id and text.
+    """
+    rows = docs.withColumn("_row", row_key())
+    of_rows = lambda df: df.select(F.col("_row").alias("doc_id"), "text")
+    gone = repeated_paragraphs(of_rows(rows)).where("NOT kept").groupBy(F.col("doc_id").alias("_row")).agg(F.collect_set("para").alias("_gone"))
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda p, k: ~F.coalesce(F.array_contains("_gone", k), F.lit(False)))
-    out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    out = out.where("_gone IS NULL OR trim(text) <> ''").withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    cut = rows.join(gone, "_row", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    cut = written(cut.select("*", F.col("_gone").isNotNull().alias("_cut")).drop("_gone"), "lines-cut", "zstd")
+
+    @F.udf("string")
+    def shortened(text, spans):
+        return text if not spans else without_words(text, [tuple(s) for s in spans])
+
+    spans = repeated_passages(of_rows(cut)).groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list(F.struct("word", "words")).alias("_spans"))
+    out = cut.join(spans, "_row", "left")
+    out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(shortened(F.when(F.col("_spans").isNotNull(), F.col("text")), "_spans")))
+    out = out.withColumn("_cut", F.col("_cut") | F.col("_spans").isNotNull())
+    out = out.where("NOT _cut OR text RLIKE '[^ \\\\t\\\\r\\\\n]'").withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
