@@ -122,6 +122,14 @@ def test_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept) == [2, 9, 11, 12]
 
 
+def test_keep_one_decides_by_row(spark):
+    """Rows without a doc_id and rows of one doc_id with different texts go only if their own text is linked."""
+    rows = [(None, "only here a b c"), (None, "u v w x y z"), (None, "u v w x y z"), (None, ""), (None, ""), (3, "g h i j k l"), (3, "m n o p q r"), (1, "m n o p q r"), (None, "g h i j k l"), (4, None), (4, None)]
+    kept = setjoin.keep_one_of_each_group(spark, frame(spark, rows), "").collect()
+    want = [(None, "only here a b c"), (None, "u v w x y z"), (None, ""), (None, ""), (3, "g h i j k l"), (1, "m n o p q r"), (4, None), (4, None)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == sorted((str(d), str(t)) for d, t in want)
+
+
 def passages(seed=0, n=6):
     rng = random.Random(seed)
     return [" ".join(f"p{rng.randrange(5000)}" for _ in range(60)) for _ in range(n)]

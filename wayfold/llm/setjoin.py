@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, table, text_of, written
+from wayfold.llm.common import ChunkTable, row_key, table, text_of, written
 from wayfold.llm.similar import components, mix, nodes_of, set_hashes, shingle_sets
 
 #: What a posting in an inverted list costs beside a subset's: it is scanned against its list, and lists of small sets are long.
@@ -157,9 +157,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the least doc_id stays; of rows with one doc_id, one."""
-    kept = ngram_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Pipeline stage: of each group of linked rows the one with the least doc_id stays, rows without a doc_id coming last.
+
+    Rows are told apart by doc_id and text, so a row goes only if its own text is linked; of rows equal in both one stays.
+    Texts without words are linked with nothing, and all of them stay.
+    """
+    rows = docs.withColumn("_row", row_key())
+    groups = ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"))
+    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).agg((F.max("n_shingles") > 0).alias("_words"))
+    out = rows.join(kept, "_row").withColumn("_copy", F.when(F.col("_words"), 0).otherwise(F.monotonically_increasing_id()))
+    return out.dropDuplicates(["_row", "_copy"]).select(*docs.columns)
 
 
 OP9_SQL = r"""
