@@ -97,6 +97,48 @@ def test_signatures_are_shared_by_linked_sets():
                 assert np.intersect1d(scheme.signatures(a), scheme.signatures(b)).size, (n, lose, add)
 
 
+def test_signatures_are_shared_at_the_stage_parameters():
+    rng = np.random.default_rng(4)
+    scheme, met = setjoin.Scheme(80), 0
+    for n in [2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 20, 26, 40, 90, 300, 1000]:
+        for k in range(60):
+            a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            lose = int(rng.integers(0, n // 5 + 1)) if k % 3 else 0
+            add = int(rng.integers(0, n // 4 + 1)) if k % 3 != 1 else 0
+            b = np.unique(np.r_[rng.permutation(a)[: len(a) - lose], rng.integers(0, 1 << 62, add).astype(np.uint64)])
+            if similar.alike(a, b, 80) and not np.array_equal(a, b):
+                met += 1
+                assert np.intersect1d(scheme.signatures(a), scheme.signatures(b)).size, (n, lose, add)
+    assert met > 200
+
+
+def test_ngram_join_is_exact_at_the_stage_parameters(spark):
+    rows = [r for r in corpus(6, bases=10)[:-1] if r[0] is not None]
+    sets = [(d, shingle_set(t, 5)) for d, t in rows]
+    linked = {(a, b) for (a, x), (b, y) in itertools.permutations(sets, 2) if x and y and 100 * len(x & y) >= 80 * len(x | y)}
+    want = {d: d for d, _ in rows}
+    for _ in rows:
+        for a, b in linked:
+            want[a] = min(want[a], want[b])
+    assert {r.doc_id: r.component_id for r in setjoin.ngram_join(frame(spark, rows), 80, 5).collect()} == want
+
+
+def test_keep_one_takes_five_words_and_four_fifths(spark):
+    """With four of 200 words changed, two texts are 0.8 alike in shingles of five words, and less than 0.9 in those of three."""
+    words = [f"s{k}" for k in range(200)]
+    near = [*words]
+    for k in (20, 70, 120, 170):
+        near[k] = "other"
+    assert not similar_at(words, near, 3, 90) and similar_at(words, near, 5, 80)
+    kept = setjoin.keep_one_of_each_group(spark, frame(spark, [(1, " ".join(words)), (2, " ".join(near))]), "").collect()
+    assert [r.doc_id for r in kept] == [1]
+
+
+def similar_at(a, b, size, percent):
+    x, y = shingle_set(" ".join(a), size), shingle_set(" ".join(b), size)
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 160)]

@@ -159,11 +159,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group of linked rows the one with the least doc_id stays, rows without a doc_id coming last.
 
+    Linked are rows with a similarity of 0.8 in shingles of five words, unlike in the query op9_ngram_join.
     Rows are told apart by doc_id and text, so a row goes only if its own text is linked; of rows equal in both one stays.
     Texts without words are linked with nothing, and all of them stay.
     """
     rows = docs.withColumn("_row", row_key())
-    groups = ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"))
+    groups = ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80, size=5)
     kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).agg((F.max("n_shingles") > 0).alias("_words"))
     out = rows.join(kept, "_row").withColumn("_copy", F.when(F.col("_words"), 0).otherwise(F.monotonically_increasing_id()))
     return out.dropDuplicates(["_row", "_copy"]).select(*docs.columns)
