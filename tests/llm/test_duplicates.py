@@ -212,6 +212,14 @@ def test_passages_inside_lines_are_cut(spark):
     assert got == want
 
 
+def test_short_lines_are_cut(spark):
+    """Lines of five words or more count, equal or alike; those of four stay."""
+    long = " ".join(f"k{x}" for x in range(24))
+    rows = [(1, "one\nall rights are reserved here"), (2, "All rights are RESERVED here\ntwo"), (3, f"{long}\nthree"), (4, f"four\n{long} more"), (5, "one two three four\nfive"), (6, "one two three four\nsix")]
+    got = {r.doc_id: r.text for r in substring.cut_repeats(spark, frame(spark, rows), "").collect()}
+    assert got == dict(rows) | {2: "two", 4: "four"}
+
+
 def test_every_repeated_run_is_found(spark):
     """Against all runs of 50 words, one by one."""
     rng = random.Random(12)

@@ -233,12 +233,12 @@ def without_words(text: str, spans: list[tuple[int, int]]) -> str:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeats are cut out of the texts; a document of which only blanks are left goes. n_chars follows the text.
 
-    First the lines that are alike to others go, then what is left of passages of 50 words or more that stand elsewhere word
+    First the lines of five words (a shingle) or more that are alike to others go, then what is left of passages of 50 words or more that stand elsewhere word
     for word, within lines or over several. Rows are told apart by doc_id and text.
     """
     rows = docs.withColumn("_row", row_key())
     of_rows = lambda df: df.select(F.col("_row").alias("doc_id"), "text")
-    gone = repeated_paragraphs(of_rows(rows)).where("NOT kept").groupBy(F.col("doc_id").alias("_row")).agg(F.collect_set("para").alias("_gone"))
+    gone = repeated_paragraphs(of_rows(rows), min_words=5).where("NOT kept").groupBy(F.col("doc_id").alias("_row")).agg(F.collect_set("para").alias("_gone"))
     lines = F.split("text", "\n", -1)
     left = F.filter(lines, lambda p, k: ~F.coalesce(F.array_contains("_gone", k), F.lit(False)))
     cut = rows.join(gone, "_row", "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
