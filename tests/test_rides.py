@@ -82,6 +82,27 @@ def test_snap_widens_its_search(spark):
     assert got == {p[0]: min(nodes, key=lambda n: (hav(p, n), n[0]))[0] for p in points if p[1]}
 
 
+def test_nearest_on_edges_whichever_way_and_length(spark):
+    """One-way streets stored as u > v, long streets that pass a point far from their ends, points far from all."""
+    rng = random.Random(3)
+    nodes = [(k, rng.uniform(35.8, 36.0), rng.uniform(50.7, 50.9)) for k in range(24)] + [(50, 36.2, 50.7), (51, 36.2, 50.9)]
+    edges = [(rng.randrange(24), rng.randrange(24), 1.0) for _ in range(14)] + [(9, 2, 1.0), (51, 50, 1.0)]
+    points = [(k, rng.uniform(35.7, 36.1), rng.uniform(50.6, 51.0)) for k in range(40)] + [(90, 36.2001, 50.8), (91, 37.5, 50.0), (92, None, 50.0)]
+    where = {k: (a, b) for k, a, b in nodes}
+    import math
+
+    def off(p, u, v):
+        kx, ky = math.cos(math.radians(p[1])) * network.METRES_A_DEGREE, network.METRES_A_DEGREE
+        (ax, ay), (bx, by) = (((where[n][1] - p[2]) * kx, (where[n][0] - p[1]) * ky) for n in (u, v))
+        t = max(0, min(1, -(ax * (bx - ax) + ay * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+        return math.hypot(ax + (bx - ax) * t, ay + (by - ay) * t)
+
+    want = {p[0]: min((round(off(p, u, v), 6), u, v) for u, v in {(min(e[:2]), max(e[:2])) for e in edges if e[0] != e[1]}) for p in points if p[1]}
+    got = network.nearest_on_edges(spark.createDataFrame(points, "point_id long, lat double, lng double"), spark.createDataFrame(nodes, "node_id long, lat double, lng double"), spark.createDataFrame(edges, "u long, v long, length double")).collect()
+    assert {r.point_id: (r.u, r.v) for r in got} == {k: w[1:] for k, w in want.items()}
+    assert all(abs(r.dist_m - want[r.point_id][0]) < 1e-4 for r in got)
+
+
 def riders(seed=0, n=40, nodes=60, k=12):
     rng = random.Random(seed)
     return {u: {s: {v: float(rng.randint(0, 900)) for v in rng.sample(range(nodes), k)} for s in ("orig", "dest")} for u in range(n)}

@@ -135,26 +135,49 @@ def nearest_nodes(nodes: DataFrame, edges: DataFrame, k: int = 100, cutoff: floa
 def nearest_on_edges(points: DataFrame, nodes: DataFrame, edges: DataFrame, cell: float = 0.002) -> DataFrame:
     """The nearest point of an edge for each point: point_id, u, v (u < v), lat, lng, dist_m on a plane around the point.
 
-    Edges are found by the cells of their ends, so they must not be longer than `cell`.
+    An edge lies in every cell that it crosses and counts whichever way it is stored. A point looks into the 3 x 3 cells around
+    its own; where an edge outside of these could be nearer, it looks again into cells four times as wide, as in `snap`. Loops
+    and points without coordinates are left out.
     """
-    a, b = (nodes.select(F.col("node_id").alias(c), F.col("lat").alias(f"{c}_lat"), F.col("lng").alias(f"{c}_lng")) for c in "uv")
-    segments = edges.where("u < v").select("u", "v").distinct().join(a, "u").join(b, "v")
-    at = lambda c: F.floor(c / cell).cast("long")
-    ends = F.array_distinct(F.array(*(F.struct(at(F.col(f"{c}_lat")).alias("cy"), at(F.col(f"{c}_lng")).alias("cx")) for c in "uv")))
-    celled = segments.withColumn("_c", F.explode(ends)).select("*", "_c.cy", "_c.cx").drop("_c")
-    ring = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    looks = points.select("point_id", "lat", "lng").withColumns({"_y": at(F.col("lat")), "_x": at(F.col("lng"))}).withColumn("dy", F.explode(ring)).withColumn("dx", F.explode(ring))
-    looks = looks.select("point_id", "lat", "lng", (F.col("_y") + F.col("dy")).alias("cy"), (F.col("_x") + F.col("dx")).alias("cx"))
-    near = looks.join(celled, ["cy", "cx"])
+    a, b = (nodes.select(F.col("node_id").alias(c), F.col("lat").alias(f"{c}_lat"), F.col("lng").alias(f"{c}_lng")).where(f"{c}_lat IS NOT NULL AND {c}_lng IS NOT NULL") for c in "uv")
+    segments = edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(a, "u").join(b, "v")
+    left = points.where("lat IS NOT NULL AND lng IS NOT NULL").select("point_id", "lat", "lng")
     kx, ky = F.cos(F.radians("lat")) * METRES_A_DEGREE, F.lit(METRES_A_DEGREE)
     x = lambda c: (F.col(f"{c}_lng") - F.col("lng")) * kx
     y = lambda c: (F.col(f"{c}_lat") - F.col("lat")) * ky
     dx, dy = x("v") - x("u"), y("v") - y("u")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x("u") * dx + y("u") * dy) / (dx * dx + dy * dy)))
-    placed = near.withColumn("t", t).withColumns({"plat": F.col("u_lat") + (F.col("v_lat") - F.col("u_lat")) * F.col("t"), "plng": F.col("u_lng") + (F.col("v_lng") - F.col("u_lng")) * F.col("t")})
-    placed = placed.withColumn("dist_m", F.sqrt(((F.col("plng") - F.col("lng")) * kx) ** 2 + ((F.col("plat") - F.col("lat")) * ky) ** 2))
-    best = placed.groupBy("point_id").agg(F.min(F.struct(F.round("dist_m", 6).alias("d"), "u", "v", "plat", "plng")).alias("b"))
-    return best.select("point_id", "b.u", "b.v", F.col("b.plat").alias("lat"), F.col("b.plng").alias("lng"), F.col("b.d").alias("dist_m"))
+    on = F.when(dx * dx + dy * dy == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(x("u") * dx + y("u") * dy) / (dx * dx + dy * dy))))
+    ring = F.array(*(F.lit(d) for d in (-1, 0, 1)))
+    found = None
+    while True:
+        at = lambda c: F.floor(c / cell).cast("long")  # noqa: E731, B023
+        looks = left.withColumns({"_y": at(F.col("lat")), "_x": at(F.col("lng"))}).withColumn("dy", F.explode(ring)).withColumn("dx", F.explode(ring))
+        looks = looks.select("point_id", "lat", "lng", (F.col("_y") + F.col("dy")).alias("cy"), (F.col("_x") + F.col("dx")).alias("cx"))
+        near = looks.join(crossed_cells(segments, cell), ["cy", "cx"])
+        placed = near.withColumn("t", on).withColumns({"plat": F.col("u_lat") + (F.col("v_lat") - F.col("u_lat")) * F.col("t"), "plng": F.col("u_lng") + (F.col("v_lng") - F.col("u_lng")) * F.col("t")})
+        placed = placed.withColumn("dist_m", F.sqrt(((F.col("plng") - F.col("lng")) * kx) ** 2 + ((F.col("plat") - F.col("lat")) * ky) ** 2))
+        best = placed.groupBy("point_id").agg(F.min(F.struct(F.round("dist_m", 6).alias("d"), "u", "v", "plat", "plng")).alias("b"), F.first("lat").alias("_at"))
+        # whatever lies within one cell's width is in the cells looked into
+        sure = F.lit(cell * METRES_A_DEGREE) * F.cos(F.radians("_at"))
+        best = checkpointed(best.where(F.lit(cell > 360) | (F.col("b.d") < sure - 1e-5)).drop("_at"))
+        found = best if found is None else found.unionByName(best)
+        left = left.join(best, "point_id", "left_anti")
+        if cell > 360 or not left.limit(1).count():
+            break
+        cell *= 4
+    return found.select("point_id", "b.u", "b.v", F.col("b.plat").alias("lat"), F.col("b.plng").alias("lng"), F.col("b.d").alias("dist_m"))
+
+
+def crossed_cells(segments: DataFrame, cell: float) -> DataFrame:
+    """Segments (u_lat, u_lng, v_lat, v_lng and others), once for each cell (cy, cx) that they cross; rounding may add a cell beside."""
+    at = lambda c: F.floor(c / cell).cast("long")
+    rows = segments.withColumn("cy", F.explode(F.sequence(at(F.least("u_lat", "v_lat")), at(F.greatest("u_lat", "v_lat")))))
+    high = F.col("v_lat") - F.col("u_lat")
+    part = lambda edge: F.when(high == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge * cell - F.col("u_lat")) / high)))
+    lng = lambda t: F.col("u_lng") + (F.col("v_lng") - F.col("u_lng")) * t
+    p = lng(part(F.col("cy")))
+    q = F.when(high == 0, F.col("v_lng")).otherwise(lng(part(F.col("cy") + 1)))
+    return rows.withColumns({"_p": p, "_q": q}).withColumn("cx", F.explode(F.sequence(at(F.least("_p", "_q") - 1e-9), at(F.greatest("_p", "_q") + 1e-9)))).drop("_p", "_q")
 
 
 def ends(requests: DataFrame) -> DataFrame:
