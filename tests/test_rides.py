@@ -217,5 +217,32 @@ def test_batches_below_the_gate_wait(spark, tmp_path):
     assert seen == [4]
 
 
+def test_small_batches_add_up_to_the_gate(spark, tmp_path):
+    """Two rows a batch: arrivals wait for the third user, removals are kept, users left pending count on, over a restart too."""
+    src = tmp_path / "in"
+    src.mkdir()
+    batches = [[("add", 1), ("add", 2)], [("remove", 2), ("add", 3)], [("add", 4)], [("remove", 1), ("add", 5)], [("add", 6)], [("remove", 6)]]
+    seen = []
+
+    def handle(df, n):
+        seen.append(sorted((r.seq, r.op, r.user_id) for r in df.collect()))
+        return [4] if len(seen) == 1 else None
+
+    def run(at):
+        for k in at:
+            pd.DataFrame([(k * 10 + i, op, u, "2024-01-01T00:00:00") for i, (op, u) in enumerate(batches[k])], columns=["seq", "op", "user_id", "ts"]).to_json(src / f"{k}.json", orient="records", lines=True)
+        grouping.run_batches(sources.read(spark, "stream", path=str(src), schema=sources.EVENT), handle, str(tmp_path / "c"), None).awaitTermination(60)
+
+    run([0])
+    assert seen == []
+    for k in (1, 2, 3):
+        run([k])
+    assert seen == [[(0, "add", 1), (1, "add", 2), (10, "remove", 2), (11, "add", 3), (20, "add", 4)]]
+    run([4])
+    assert seen[1:] == [[(20, "add", 4), (30, "remove", 1), (31, "add", 5), (40, "add", 6)]]
+    run([5])
+    assert len(seen) == 2
+
+
 def test_fixtures_agree_on_edges(spark, con):
     assert fx.road_edge(spark, SF).count() == con.sql(fx.SQL + "SELECT count(*) FROM road_edge").fetchall()[0][0] == 692
