@@ -68,6 +68,40 @@ def test_shortest_paths_both_ways(spark, monkeypatch):
     assert all(r["count"] <= 3 for r in near)
 
 
+def trips(spark, seed=6, n=24):
+    """Nodes on a line, streets both ways but for a part that none leads to, and trips between places at the nodes."""
+    rng = random.Random(seed)
+    nodes = [(k, 35.9 + k * 0.01, 50.7) for k in range(20)]
+    edges = [e for k in range(17) for e in ((k, k + 1, 1200.0 + k), (k + 1, k, 1200.0 + k))] + [(18, 19, 1.0), (19, 18, 1.0)]
+    place = lambda k: (nodes[k][1] + rng.choice([0, 3e-4]), nodes[k][2])
+    rows = [(u, *place(rng.randrange(20)), *place(rng.randrange(20))) for u in range(n)] + [(n, *nodes[0][1:], *nodes[17][1:]), (n + 1, *nodes[0][1:], *nodes[19][1:]), (n + 2, *nodes[4][1:], *nodes[4][1:])]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    return nodes, edges, rows, made(nodes, "node_id long, lat double, lng double"), made(edges, "u long, v long, length double"), made(rows, "user_id long, origin_lat double, origin_lng double, destination_lat double, destination_lng double")
+
+
+def great_circle(a, b):
+    import math
+
+    x = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371000 * math.asin(math.sqrt(x))
+
+
+def walk(nodes, edges, a, b):
+    if abs(a[0] - b[0]) < 1e-6 and abs(a[1] - b[1]) < 1e-6:
+        return 0.0
+    s, t = (min(nodes, key=lambda n: great_circle(p, n[1:]))[0] for p in (a, b))
+    return dijkstra(edges, s, 1e17).get(t, great_circle(a, b)) if s != t else great_circle(a, b)
+
+
+def test_walking_has_no_cutoff(spark, monkeypatch):
+    nodes, edges, rows, n, e, r = trips(spark)
+    want = {u: walk(nodes, edges, (a, b), (c, d)) for u, a, b, c, d in rows}
+    assert max(want.values()) > 20_000
+    for most in (network.MOST_EDGES, 0):
+        monkeypatch.setattr(network, "MOST_EDGES", most)
+        assert {x.user_id: x.dist_m for x in network.walking_distances(r, n, e).collect()} == pytest.approx(want)
+
+
 def test_snap_widens_its_search(spark):
     rng = random.Random(1)
     nodes = [(k, rng.uniform(35, 36), rng.uniform(50, 51)) for k in range(30)]

@@ -180,6 +180,56 @@ def crossed_cells(segments: DataFrame, cell: float) -> DataFrame:
     return rows.withColumns({"_p": p, "_q": q}).withColumn("cx", F.explode(F.sequence(at(F.least("_p", "_q") - 1e-9), at(F.greatest("_p", "_q") + 1e-9)))).drop("_p", "_q")
 
 
+def paths_between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, node, dist) of those pairs (src, node) between which there is a path, however long; each source is searched until its nodes are reached."""
+    spark = pairs.sparkSession
+    edges = edges.select("u", "v", F.col("length").cast("double").alias("length")).where("u IS NOT NULL AND v IS NOT NULL AND length IS NOT NULL")
+    pairs = pairs.select(F.col("src").cast("long").alias("src"), F.col("node").cast("long").alias("node")).where("src IS NOT NULL AND node IS NOT NULL").distinct()
+    if edges.count() > MOST_EDGES:
+        return relaxed(pairs.select("src"), edges, float("inf")).join(pairs, ["src", "node"], "left_semi")
+    graph: dict[int, list[tuple[int, float]]] = {}
+    for u, v, length in edges.toLocalIterator():
+        if length <= 0:
+            raise ValueError("edge lengths must be positive")
+        graph.setdefault(u, []).append((v, length))
+    sent = spark.sparkContext.broadcast(graph)
+
+    def search(batches):
+        around = sent.value
+        for b in batches:
+            src, node, dist = [], [], []
+            for s, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                best, queue, left = {s: 0.0}, [(0.0, s)], set(wanted)
+                while queue and left:
+                    d, u = heapq.heappop(queue)
+                    if d > best[u]:
+                        continue
+                    if u in left:
+                        left.remove(u)
+                        src.append(s)
+                        node.append(u)
+                        dist.append(d)
+                    for v, length in around.get(u, ()):
+                        if d + length < best.get(v, float("inf")):
+                            best[v] = d + length
+                            heapq.heappush(queue, (d + length, v))
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(node, pa.int64()), pa.array(dist, pa.float64())], ["src", "node", "dist"])
+
+    return pairs.groupBy("src").agg(F.collect_set("node").alias("nodes")).mapInArrow(search, "src long, node long, dist double")
+
+
+def walking_distances(requests: DataFrame, nodes: DataFrame, edges: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """(user_id, dist_m) from origin to destination: 0 for one place, the great circle for one node or without a path, else the network's distance, unless it is over `cutoff`."""
+    s = snapped(requests, nodes)
+    o, t = (s.where(F.col("side") == side).select("user_id", F.col("node").alias(c)) for side, c in (("orig", "o"), ("dest", "t")))
+    both = requests.join(o, "user_id").join(t, "user_id")
+    paths = paths_between(both.select(F.col("o").alias("src"), F.col("t").alias("node")), edges) if cutoff is None else shortest(o.select(F.col("o").alias("src")), edges, cutoff)
+    both = both.join(paths, (F.col("src") == F.col("o")) & (F.col("node") == F.col("t")), "left")
+    ends = [F.col(c) for c in ("origin_lat", "origin_lng", "destination_lat", "destination_lng")]
+    same = (F.abs(ends[0] - ends[2]) < 1e-6) & (F.abs(ends[1] - ends[3]) < 1e-6)
+    return both.select("user_id", F.when(same, 0.0).when((F.col("o") == F.col("t")) | F.col("dist").isNull(), haversine_m(*ends)).otherwise(F.col("dist")).alias("dist_m"))
+
+
 def ends(requests: DataFrame) -> DataFrame:
     """(user_id, side, lat, lng): both ends of each request."""
     side = lambda s, c: F.struct(F.lit(s).alias("side"), F.col(f"{c}_lat").alias("lat"), F.col(f"{c}_lng").alias("lng"))

@@ -75,17 +75,8 @@ def knn_resume_remaining(spark, d):
  {_HAV_M.format(a='a', b='b')} AS gc FROM ride_request r JOIN snap o ON o.user_id = r.user_id AND o.side = 'orig' JOIN snap t ON t.user_id = r.user_id AND t.side = 'dest'
  JOIN ends a ON a.user_id = r.user_id AND a.side = 'orig' JOIN ends b ON b.user_id = r.user_id AND b.side = 'dest' LEFT JOIN sssp k ON k.src = o.node AND k.node = t.node)""")
 def walking_distance(spark, d):
-    """From origin to destination: the network's distance where it is within the cutoff, else the great circle."""
-    from wayfold.functions.geo import haversine_m
-
-    r = fx.ride_request(spark, d)
-    s = net.snapped(r, fx.road_node(spark, d))
-    o, t = (s.where(F.col("side") == side).select("user_id", F.col("node").alias(c)) for side, c in (("orig", "o"), ("dest", "t")))
-    paths = net.shortest(o.select(F.col("o").alias("src")), fx.road_edge(spark, d), fx.KNN_CUTOFF_M)
-    both = r.join(o, "user_id").join(t, "user_id").join(paths, (F.col("src") == F.col("o")) & (F.col("node") == F.col("t")), "left")
-    ends = [F.col(c) for c in ("origin_lat", "origin_lng", "destination_lat", "destination_lng")]
-    same = (F.abs(ends[0] - ends[2]) < 1e-6) & (F.abs(ends[1] - ends[3]) < 1e-6)
-    return both.select("user_id", F.round(F.when(same, 0.0).when((F.col("o") == F.col("t")) | F.col("dist").isNull(), haversine_m(*ends)).otherwise(F.col("dist")), 6).alias("dist_m"))
+    """From origin to destination: the network's distance where it is within the cutoff of the SQL, else the great circle."""
+    return net.walking_distances(fx.ride_request(spark, d), fx.road_node(spark, d), fx.road_edge(spark, d), fx.KNN_CUTOFF_M).select("user_id", R("dist_m"))
 
 
 @query("SELECT user_id, cand_id, n_orig, n_dest FROM mpb_pair")
