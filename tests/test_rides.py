@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from wayfold.functions import geo
-from wayfold.operators import bucketing, commit, cosine, intercity, network, storage
+from wayfold.operators import bucketing, clusters, commit, cosine, intercity, network, storage
 from wayfold.plans import registry
 from wayfold.sources import fixtures as fx
 from wayfold.sources import registry as sources
@@ -102,6 +102,27 @@ def test_walking_has_no_cutoff(spark, monkeypatch):
         assert {x.user_id: x.dist_m for x in network.walking_distances(r, n, e).collect()} == pytest.approx(want)
 
 
+def test_clusters_over_walking_distances(spark):
+    """Sums, medoids and silhouettes against plain loops over walking distances."""
+    nodes, edges, rows, n, e, r = trips(spark, 8, 12)
+    m = clusters.members(r, spark.createDataFrame([(x[0], x[0] % 3) for x in rows], "user_id long, label int"), n)
+    at = {u: (a, b) for u, a, b, _, _ in rows}
+    far = {(i, j): walk(nodes, edges, at[i], at[j]) for i in at for j in at}
+    of = {k: [u for u in at if u % 3 == k] for k in range(3)}
+    medoid = {k: min(us, key=lambda u: (round(sum(far[u, v] for v in us), 6), u)) for k, us in of.items()}
+    orig = lambda df: df.where("side = 'orig'").collect()
+    got = clusters.medoids(m, e)
+    assert {x.label: x.user_id for x in orig(got)} == medoid
+    assert {x.user_id: x.d for x in orig(clusters.to_centre(m, got, e))} == pytest.approx({u: far[u, medoid[u % 3]] for u in at})
+    assert {(x.user_id, x.other): x.d for x in orig(clusters.within(m, e))} == pytest.approx({(u, v): far[u, v] for us in of.values() for u in us for v in us if u != v})
+    assert {(x.i, x.j): x.d for x in clusters.between(got, edges=e).collect()} == pytest.approx({(i, j): far[medoid[i], medoid[j]] for i in of for j in of if i < j})
+    mean = lambda u, us: sum(far[u, v] for v in us if v != u) / len([v for v in us if v != u])
+    both = [(mean(u, of[u % 3]), min(mean(u, of[k]) for k in of if k != u % 3)) for u in at]
+    assert orig(clusters.silhouettes(m, e))[0].silhouette == pytest.approx(sum((b - a) / max(a, b) for a, b in both) / len(both))
+    sse = {x.side: x.sse for x in clusters.squared_error(clusters.to_centre(m, got, e)).collect()}
+    assert clusters.evaluation(m, edges=e).first().sse == pytest.approx(sum(sse.values()))
+
+
 def test_snap_widens_its_search(spark):
     rng = random.Random(1)
     nodes = [(k, rng.uniform(35, 36), rng.uniform(50, 51)) for k in range(30)]
