@@ -135,6 +135,32 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
+def sketched(sets: DataFrame) -> DataFrame:
+    """(h, n, p): size and parity sketch of each set."""
+
+    def sketches(batches):
+        for b in batches:
+            s = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int32()), pa.array([parity(x).tobytes() for x in s], pa.binary())], ["h", "n", "p"])
+
+    return sets.mapInArrow(sketches, "h long, n int, p binary")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches (h, n, p) don't rule out: none that is alike is lost, and sets are joined to few."""
+    left, right = sketches.select(F.col("h").alias("a"), F.col("n").alias("m"), F.col("p").alias("x")), sketches.select(F.col("h").alias("b"), "n", F.col("p").alias("y"))
+    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("m", "n").cast("long") >= percent * F.greatest("m", "n").cast("long")).select("a", "b", "m", "n", "x", "y")
+
+    def keep(batches):
+        for b in batches:
+            n = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, PARITY_WORDS) for k in (4, 5))
+            good = np.bitwise_count(x ^ y).sum(1) <= n * (100 - percent) // (100 + percent)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return sized.mapInArrow(keep, "a long, b long")
+
+
 #: Members of a list that are compared with each other at a time.
 BLOCK = 512
 
@@ -188,7 +214,8 @@ def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     lists = signatures.groupBy("sig").agg(F.min("h").alias("hub"), F.max("h").alias("_top")).where("hub <> _top").drop("_top")
     members = written(signatures.join(lists, "sig").select("sig", "h", "hub").distinct(), "lists")
     sets = written(sets_of(members.select("h").distinct()), "sets")
-    edges = written(verified(members.where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), sets, percent), "links")
+    sketches = written(sketched(sets), "sketches")
+    edges = written(verified(possible(members.where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), sketches, percent), sets, percent), "links")
     comps = written(connected(edges), "comps")
 
     # hubs have been compared with all of their lists
@@ -203,7 +230,7 @@ def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         if k == rounds or not left.limit(1).count():
             break
         more = left.join(comps.select(F.col("h").alias("hub"), F.col("comp").alias("_of")), "hub", "left").where(F.coalesce("_of", "hub") != F.col("comp"))
-        new = written(verified(more.where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct(), sets, percent), "links")
+        new = written(verified(possible(more.where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct(), sketches, percent), sets, percent), "links")
         left = left.where("h <> hub").select("sig", "h")
         if new.limit(1).count():
             edges = edges.union(new)
@@ -211,11 +238,6 @@ def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     if not left.limit(1).count():
         return comps
 
-    def sketches(batches):
-        for b in batches:
-            s = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int32()), pa.array([parity(x).tobytes() for x in s], pa.binary())], ["h", "n", "p"])
-
-    sketched = left.select("sig", "h", "comp").join(sets.mapInArrow(sketches, "h long, n int, p binary"), "h")
-    new = written(verified(_block_pairs(sketched, percent), sets, percent), "links")
+    found = _block_pairs(left.select("sig", "h", "comp").join(sketches, "h"), percent)
+    new = written(verified(found, sets, percent), "links")
     return written(connected(edges.union(new)), "comps") if new.limit(1).count() else comps
