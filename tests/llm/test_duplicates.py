@@ -134,17 +134,6 @@ def test_keep_one_takes_five_words_and_four_fifths(spark):
     assert [r.doc_id for r in kept] == [1]
 
 
-def test_possible_pairs_lose_no_link(spark):
-    rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 62, 300).astype(np.uint64)
-    sets = [np.unique(np.r_[base[rng.random(300) > rng.choice([0.02, 0.1, 0.6])], rng.integers(0, 1 << 62, 8).astype(np.uint64)]) for _ in range(40)]
-    pairs = [*itertools.combinations(range(40), 2)]
-    made = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "h long, s binary")
-    got = {(r.a, r.b) for r in similar.possible(spark.createDataFrame(pairs, "a long, b long"), similar.sketched(made), 80).collect()}
-    want = {(a, b) for a, b in pairs if similar.alike(sets[a], sets[b], 80)}
-    assert want and want <= got and len(got) < len(pairs)
-
-
 def similar_at(a, b, size, percent):
     x, y = shingle_set(" ".join(a), size), shingle_set(" ".join(b), size)
     return 100 * len(x & y) >= percent * len(x | y)
