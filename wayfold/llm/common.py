@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def large_batches(spark: SparkSession, rows: int = 65_536) -> Iterator[None]:
+    """Arrow batches of `rows` rows for what runs inside: for tables of a few numbers a row, not for texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: Rows of ids or hashes that are broadcast at most (some 50 bytes each); more are joined by shuffling.
+MOST_SENT = 150_000
+
+
+def sendable(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """`df`, marked to be broadcast if it has at most `most` rows; `df` is counted, so it should be cheap to read."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, where that is unset a temporary one, for a local master (tests) only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

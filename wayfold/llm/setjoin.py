@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
 
@@ -12,85 +11,125 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, row_key, table, text_of, written
+from wayfold.llm.common import ChunkTable, row_key, sendable, table, text_of, written
 from wayfold.llm.similar import components, mix, nodes_of, set_hashes, shingle_sets
 
-#: What a posting in an inverted list costs beside a subset's: it is scanned against its list, and lists of small sets are long.
-SCAN = 4
-#: Sizes of heavy sets in one class: up to RATIO times the smallest.
-RATIO = 1.25
-#: Parts beyond those needed; so many empty parts of a set need no posting.
-SPARE = 2
+#: What a posting costs beside a subset's row where nothing was measured.
+SCAN = 6.0
+#: What comparing a posting with another set of its list costs beside a row.
+COMPARE = 3.0
+#: Shingles that are taken last because many documents have them, at most; found in FREQUENT_IN documents or more.
+MOST_FREQUENT, FREQUENT_IN = 65_536, 32
+#: Counters that a task holds while it counts, and rows of them that it gives.
+TASK_COUNTERS, TASK_SUMMARY = 250_000, 4_096
+#: One shingle in so many is counted exactly to measure inverted lists.
+SLICE = 1_024
 
 
 class Scheme:
     """Signatures such that any two sets with 100 * intersection >= percent * union share one.
 
     Light sets: linked sets of sizes n >= m have an intersection of at least percent * n / 100, so a set gives all of its
-    subsets of these sizes; the intersection is one of them for both. Heavy sets: by hash, elements are dealt to parts, more
-    than the elements in which two linked sets of the size class can differ, so at least one part is the same in both; the
-    inverted list of a part's content holds the sets that have it. A set near a class's upper end gives postings in the next
-    class too. The boundary is the largest size whose subsets cost no more than its postings, one of which counts SCAN.
+    subsets of these sizes; the intersection is one of them for both. Heavy sets: shingles have one order for all sets, and a
+    set is put into the inverted lists of its first ones, one more than a linked set can lack; the first shingle that two
+    linked sets share is among these of both. Any order gives all links: it is by hash, with the shingles of `frequent` (the
+    most frequent last) after the others, so that lists are short. The boundary is the largest size whose subsets cost no
+    more than its postings, each of which counts `scan`. A light set that a heavy one can be linked to gives both.
     """
 
-    def __init__(self, percent: int, scan: int = SCAN):
-        self.percent, self.scan = percent, scan
-        self.light = 0
-        while self.light < 200 and self.subsets(self.light + 1) <= scan * self.parts(self._span(self.light + 1)[1]) * 1.5:
+    def __init__(self, percent: int, scan: float = SCAN, frequent: np.ndarray | None = None):
+        self.percent, self.light = percent, 0
+        frequent = np.zeros(0, np.uint64) if frequent is None else frequent
+        order = np.argsort(frequent, kind="stable")
+        self.sorted, self.rank = frequent[order], order.astype(np.int64)
+        while self.light < 200 and self.subsets(self.light + 1) <= scan * self.prefix(self.light + 1):
             self.light += 1
 
     def lost(self, n: int) -> int:
-        """Elements of a set of n that a linked set of at most n can lack."""
+        """Elements of a set of n that a linked set can lack."""
         return n - -(-self.percent * n // 100)
 
     def subsets(self, n: int) -> int:
         return sum(math.comb(n, d) for d in range(self.lost(n) + 1))
 
-    def parts(self, largest: int) -> int:
-        return 2 * largest * (100 - self.percent) // (100 + self.percent) + 1 + SPARE
-
-    @staticmethod
-    def _span(n: int) -> tuple[int, int]:
-        return n, max(n, math.ceil(n * RATIO) - 1)
-
-    @functools.cached_property
-    def _starts(self) -> list[int]:
-        out = [self.light + 1]
-        while out[-1] < 1 << 40:
-            out.append(self._span(out[-1])[1] + 1)
-        return out
-
-    def classes(self, n: int) -> list[int]:
-        """The classes in which a set of n has postings."""
-        c = int(np.searchsorted(self._starts, n, "right")) - 1
-        return ([c] if c >= 0 else []) + ([c + 1] if 100 * n // self.percent >= self._starts[c + 1] else [])
+    def prefix(self, n: int) -> int:
+        return self.lost(n) + 1
+
+    def first(self, s: np.ndarray) -> np.ndarray:
+        """The shingles of a sorted set that come first in the order of all sets."""
+        p = self.prefix(len(s))
+        if not len(self.sorted):
+            return s[:p]
+        at = np.minimum(np.searchsorted(self.sorted, s), len(self.sorted) - 1)
+        often = self.sorted[at] == s
+        rare = s[~often][:p]
+        if len(rare) == p:
+            return rare
+        rest = s[often]
+        return np.r_[rare, rest[np.argsort(self.rank[at[often]])][: p - len(rare)]]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         n, out = len(s), []
         if n == 0:
             return s
-        m = mix(s)
+        larger = 100 * n // self.percent  # the most that a linked set can have
+        if larger == n and not self.lost(n):
+            return s[:0]
         with np.errstate(over="ignore"):
-            if n <= self.light and self.lost(100 * n // self.percent):  # if a linked set can be larger
+            if n <= self.light:
+                m = mix(s)
                 total = m.sum()
                 for d in range(self.lost(n) + 1):
                     gone = m[np.array(list(itertools.combinations(range(n), d)), np.int64).reshape(-1, d)].sum(1, dtype=np.uint64) if d else np.zeros(1, np.uint64)
                     out.append(mix(total - gone + np.uint64(n - d) * np.uint64(0xD6E8FEB86659FD93)))
-            for c in self.classes(n):
-                parts = self.parts(self._starts[c + 1] - 1)
-                at = ((s >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(at, kind="stable")
-                at, filled = at[order], np.bincount(at, minlength=parts) > 0
-                own = np.add.reduceat(m[order], np.flatnonzero(np.r_[True, at[1:] != at[:-1]]))
-                ids = np.flatnonzero(filled)
-                if parts - len(ids) > SPARE:
-                    full = np.zeros(parts, np.uint64)
-                    full[ids] = own
-                    own, ids = full, np.arange(parts)
-                out.append(mix(own + mix(ids.astype(np.uint64) + np.uint64(c + 1) * np.uint64(0xA0761D6478BD642F))))
+            if larger > self.light:
+                out.append(mix(self.first(s) ^ np.uint64(0xA0761D6478BD642F)))
         return np.concatenate(out) if out else s[:0]
 
 
+def shingle_statistics(rows: DataFrame, size: int, percent: int) -> tuple[np.ndarray, float]:
+    """From all texts of `rows` (doc_id, text): the shingles that many documents have, the most frequent last, and the mean length of the inverted list that a posting of any other is in.
+
+    Tasks give summaries of bounded size (Misra-Gries: what is frequent survives) of the shingles that a prefix by hash can
+    hold, and exact counts of a slice of all shingles by hash, a share of 1 / SLICE. Both only choose the order and the
+    boundary of a Scheme, which finds all links under any.
+    """
+    below = np.uint64(min(1.0, 1.5 * (1 - percent / 100) + 0.05) * float(1 << 64) * (1 - 1e-9))
+
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        values, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return values, np.bincount(index, np.concatenate([p[1] for p in parts]), len(values)).astype(np.int64)
+
+    def summarise(batches):
+        known = word_table()
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        low, part, waiting = [none], [none], 0
+        for b in batches:
+            lists = [*map(words_of, b.column(1).to_pylist())]
+            known.learn(lists)
+            flat = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(lists, known, size)])
+            some, exact = flat[flat < below], flat[mix(flat) % np.uint64(SLICE) == 0]
+            low.append((some, np.ones(len(some), np.int64)))
+            part.append((exact, np.ones(len(exact), np.int64)))
+            waiting += len(some)
+            if waiting > 8 * TASK_COUNTERS:
+                values, counts = added(low)
+                if len(values) > TASK_COUNTERS:
+                    counts = counts - np.partition(counts, -TASK_COUNTERS // 4)[-TASK_COUNTERS // 4]
+                    values, counts = values[counts > 0], counts[counts > 0]
+                low, part, waiting = [(values, counts)], [added(part)], 0
+        (values, counts), exact = added(low), added(part)
+        top = np.argsort(-counts, kind="stable")[:TASK_SUMMARY]
+        top = top[counts[top] > 1]
+        flat, n = np.r_[values[top], exact[0]], np.r_[counts[top], exact[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) < len(top)), pa.array(flat.view(np.int64)), pa.array(n)], ["top", "e", "n"])
+
+    counted = written(rows.mapInArrow(summarise, "top boolean, e long, n long").groupBy("top", "e").agg(F.sum("n").alias("n")), "shingle-counts")
+    often = counted.where(F.col("top") & (F.col("n") >= FREQUENT_IN)).orderBy(F.desc("n"), "e").limit(MOST_FREQUENT).collect()
+    sums = counted.where(~F.col("top") & (F.col("n") < FREQUENT_IN)).agg(F.sum(F.col("n") * F.col("n")).alias("square"), F.sum("n").alias("n")).first()
+    return np.array([r.e for r in often][::-1], np.int64).view(np.uint64), (sums.square / sums.n if sums.n else 1.0)
+
+
 def word_table() -> ChunkTable:
     return ChunkTable(lambda new: map(xxhash.xxh3_64_intdigest, new))
 
@@ -111,16 +150,19 @@ def ngram_join(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
     """
     rows = text_of(docs, "doc_id")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scheme = Scheme(percent)
+    frequent, length = shingle_statistics(rows, size, percent)
+    sent = docs.sparkSession.sparkContext.broadcast(Scheme(percent, 1 + COMPARE * max(0.0, length - 1), frequent))
 
     def shingle(batches):
+        scheme = sent.value
         known = word_table()
         for b in batches:
             lists = [*map(words_of, b.column(1).to_pylist())]
             known.learn(lists)
             sets = [*shingle_sets(lists, known, size)]
             hashes = [set_hashes(s) for s in sets]
-            sigs = [scheme.signatures(s).view(np.int64) for s in sets]
+            seen: set[int] = set()  # equal sets of a batch give their signatures once
+            sigs = [scheme.signatures(s if h not in seen and not seen.add(h) else s[:0]).view(np.int64) for s, (h, _) in zip(sets, hashes, strict=True)]
             ends = np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32)
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64), pa.int64())
             longs = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [h for h, _ in hashes], [h for _, h in hashes])]
@@ -132,7 +174,7 @@ def ngram_join(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Made again from the text of one document of each node: the sets of all documents are never stored."""
-        ids = nodes.join(wanted, "h", "left_semi").select("h", F.col("first.doc_id").alias("doc_id"))
+        ids = sendable(written(nodes.join(wanted, "h", "left_semi").select("h", F.col("first.doc_id").alias("doc_id")), "wanted"))
 
         def again(batches):
             known = word_table()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import written
+from wayfold.llm.common import large_batches, written
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,6 +135,56 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
+def sketched(sets: DataFrame) -> DataFrame:
+    """(h, n, p): size and parity sketch of each set."""
+
+    def sketches(batches):
+        for b in batches:
+            s = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int32()), pa.array([parity(x).tobytes() for x in s], pa.binary())], ["h", "n", "p"])
+
+    return sets.mapInArrow(sketches, "h long, n int, p binary")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches (h, n, p) don't rule out: none that is alike is lost, and sets are joined to few."""
+    left, right = sketches.select(F.col("h").alias("a"), F.col("n").alias("m"), F.col("p").alias("x")), sketches.select(F.col("h").alias("b"), "n", F.col("p").alias("y"))
+    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("m", "n").cast("long") >= percent * F.greatest("m", "n").cast("long")).select("a", "b", "m", "n", "x", "y")
+
+    def keep(batches):
+        for b in batches:
+            n = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, PARITY_WORDS) for k in (4, 5))
+            good = np.bitwise_count(x ^ y).sum(1) <= n * (100 - percent) // (100 + percent)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return sized.mapInArrow(keep, "a long, b long")
+
+
+def shared_lists(signatures: DataFrame) -> DataFrame:
+    """(sig, h, hub) of the lists with two different members at least, each member once; the hub is the least.
+
+    One shuffle: a task reads its lists in order and keeps one value of them at a time, so a list's length costs no memory.
+    """
+
+    def lists(batches):
+        sig, h, hub = None, None, None  # of the row before; its list's first
+        for b in batches:
+            s, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(s):
+                continue
+            first = np.r_[s[0] != sig, s[1:] != s[:-1]] if sig is not None else np.r_[True, s[1:] != s[:-1]]
+            again = np.r_[not first[0] and x[0] == h, (x[1:] == x[:-1]) & ~first[1:]]
+            at = np.maximum.accumulate(np.where(first, np.arange(len(s)), -1))
+            hubs = np.where(at >= 0, x[at], hub if hub is not None else 0)
+            keep = (x != hubs) & ~again
+            sig, h, hub = s[-1], x[-1], hubs[-1]
+            # a hub is given with each of its members, so that lists of one member are never given
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(x[keep]), pa.array(hubs[keep])], ["sig", "h", "hub"])
+
+    return signatures.select("sig", "h").repartition("sig").sortWithinPartitions("sig", "h").mapInArrow(lists, "sig long, h long, hub long")
+
+
 #: Members of a list that are compared with each other at a time.
 BLOCK = 512
 
@@ -182,17 +232,21 @@ def _block_pairs(left: DataFrame, percent: int) -> DataFrame:
 def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2) -> DataFrame:
     """(h, comp) of the nodes that are linked to others.
 
-    `signatures` has (sig, h) and is read twice, so it should come from a table; `sets_of` gives (h, s: the sorted set, 64-bit
-    values as bytes) for a table of nodes (h).
+    `signatures` has (sig, h); `sets_of` gives (h, s: the sorted set, 64-bit values as bytes) for a table of nodes (h).
     """
-    lists = signatures.groupBy("sig").agg(F.min("h").alias("hub"), F.max("h").alias("_top")).where("hub <> _top").drop("_top")
-    members = written(signatures.join(lists, "sig").select("sig", "h", "hub").distinct(), "lists")
-    sets = written(sets_of(members.select("h").distinct()), "sets")
-    edges = written(verified(members.where("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), sets, percent), "links")
+    with large_batches(signatures.sparkSession):
+        members = written(shared_lists(signatures), "lists")  # without the hubs themselves
+    sets = written(sets_of(members.select("h").union(members.select("hub")).distinct()), "sets")
+    sketches = written(sketched(sets), "sketches")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return written(verified(possible(pairs, sketches, percent), sets, percent), "links")
+
+    edges = links(members.select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct())
     comps = written(connected(edges), "comps")
 
     # hubs have been compared with all of their lists
-    left = members.where("h <> hub").select("sig", "h")
+    left = members.select("sig", "h")
     for k in range(1, rounds + 1):
         left = left.join(comps, "h", "left").select("sig", "h", F.coalesce("comp", "h").alias("comp"))
         open_ = left.groupBy("sig").agg(
@@ -203,19 +257,12 @@ def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         if k == rounds or not left.limit(1).count():
             break
         more = left.join(comps.select(F.col("h").alias("hub"), F.col("comp").alias("_of")), "hub", "left").where(F.coalesce("_of", "hub") != F.col("comp"))
-        new = written(verified(more.where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct(), sets, percent), "links")
+        new = links(more.where("h <> hub").select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct())
         left = left.where("h <> hub").select("sig", "h")
         if new.limit(1).count():
             edges = edges.union(new)
             comps = written(connected(edges), "comps")
     if not left.limit(1).count():
         return comps
-
-    def sketches(batches):
-        for b in batches:
-            s = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int32()), pa.array([parity(x).tobytes() for x in s], pa.binary())], ["h", "n", "p"])
-
-    sketched = left.select("sig", "h", "comp").join(sets.mapInArrow(sketches, "h long, n int, p binary"), "h")
-    new = written(verified(_block_pairs(sketched, percent), sets, percent), "links")
+    new = links(_block_pairs(left.select("sig", "h", "comp").join(sketches, "h"), percent))
     return written(connected(edges.union(new)), "comps") if new.limit(1).count() else comps
