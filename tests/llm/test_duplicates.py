@@ -1,5 +1,6 @@
 """N-gram join, substring dedup, decontamination, against brute force."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -177,18 +178,79 @@ def passages(seed=0, n=6):
     return [" ".join(f"p{rng.randrange(5000)}" for _ in range(60)) for _ in range(n)]
 
 
+def pieces_of(text, near=8, size=5):
+    """(first word, words) of the pieces of a text, one word at a time."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in line)) if w]
+        m = [hashlib.md5(w.encode()).hexdigest()[:16] for w in words]
+        start = 0
+        for i in range(len(words)):
+            inside = near <= i < len(words) - near and m[i] < min(m[i - near : i]) and m[i] <= min(m[i + 1 : i + near + 1])
+            if inside or i == len(words) - 1:
+                if i + 1 - start >= size:
+                    out.append((at + start, i + 1 - start, frozenset(tuple(words[k : k + size]) for k in range(start, i + 2 - size))))
+                start = i + 1
+        at += len(words)
+    return out
+
+
+def brute_paragraphs(rows, least=30):
+    pieces = [(d, k, *p) for d, t in rows if d is not None for k, p in enumerate(pieces_of(t or ""))]
+    parent = list(range(len(pieces)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = set()
+    for a, b in itertools.combinations(range(len(pieces)), 2):
+        x, y = pieces[a][4], pieces[b][4]
+        if 100 * len(x & y) >= 80 * len(x | y):
+            linked |= {a, b}
+            parent[max(root(a), root(b), key=lambda k: pieces[k][:2])] = min(root(a), root(b), key=lambda k: pieces[k][:2])
+    out, run = set(), []
+    for k in sorted(linked, key=lambda k: pieces[k][:2]) + [None]:
+        if run and (k is None or pieces[k][:2] != (pieces[run[-1]][0], pieces[run[-1]][1] + 1)):
+            size = pieces[run[-1]][2] + pieces[run[-1]][3] - pieces[run[0]][2]
+            if size >= least:
+                out |= {(*pieces[r][:4], size, *pieces[root(r)][:2], root(r) == r) for r in run}
+            run = []
+        run.append(k)
+    return out
+
+
 def test_repeated_paragraphs(spark):
-    p = passages()
-    edited = p[1].split()
-    edited[30] = "changed"
-    own = passages(9, 8)
-    rows = [(1, f"{own[0]}\n{p[0]}"), (2, f"{p[0]}\n{own[1]}\nshort line"), (3, own[2] + "\nshort line"), (4, p[1]), (5, f"{' '.join(edited)}\n{own[3]}"), (6, None), (7, ""), (8, f"{p[2]}\n{own[4]}\n{p[2]}"), (None, p[0]), (9, "\n\n" + "ab " * 9000)]
-    got = {(r.doc_id, r.para, r.kept_doc_id, r.kept_para, r.kept) for r in substring.repeated_paragraphs(frame(spark, rows)).collect()}
-    assert got == {(1, 1, 1, 1, True), (2, 0, 1, 1, False), (4, 0, 4, 0, True), (5, 0, 4, 0, False), (8, 0, 8, 0, True), (8, 2, 8, 0, False)}
-    for r in substring.repeated_paragraphs(frame(spark, rows)).collect():
-        text = dict(rows)[r.doc_id]
-        assert text[r.start : r.start + r.length] == text.split("\n")[r.para]
+    """Against brute force: copies inside lines, whole lines, edits, repeats within a document, short stock lines."""
+    rng = random.Random(31)
+    p, own = passages(n=8), iter(passages(9, 160))
+    rows = [(6, None), (7, ""), (None, p[0]), (9, "\n\n" + "ab " * 9000), (8, f"{p[2]}\n{next(own)}\n{p[2]}")]
+    for d in range(10, 40):
+        words = p[rng.randrange(8)].split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(60)] = "changed"
+        cut = " ".join(words[rng.choice([0, 0, 5]) :])
+        rows.append((d, rng.choice([f"{next(own)} {cut.upper()} {next(own)}", f"{next(own)}\n{cut}\nshort stock line of words", f"{cut}"])))
+    got = {tuple(r) for r in substring.repeated_paragraphs(frame(spark, rows)).collect()}
+    want = brute_paragraphs(rows)
+    assert got == want and len({r[0] for r in want}) > 15
     assert substring.repeated_paragraphs(frame(spark, rows).limit(0)).count() == 0
+    low = {tuple(r) for r in substring.repeated_paragraphs(frame(spark, rows), least_words=5).collect()}
+    assert low == brute_paragraphs(rows, 5) and any(r[3] == 5 for r in low)
+
+
+def test_a_passage_in_mid_line_is_found(spark):
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"o{rng.randrange(100_000)}" for _ in range(n))
+    all_, rows = set(), []
+    for k in range(60):
+        passage = own(75)
+        rows += [(2 * k, f"{own(70)} {passage} {own(90)}"), (2 * k + 1, f"{own(33)} {passage}, {own(20)}")]
+        all_ |= {2 * k, 2 * k + 1}
+    rows += [(500 + k, own(200)) for k in range(20)]
+    found = {r.doc_id for r in substring.repeated_paragraphs(frame(spark, rows)).collect()}
+    assert len(found & all_) >= 0.95 * len(all_) and not found - all_
 
 
 def test_cut_repeats(spark):
@@ -245,9 +307,15 @@ def test_every_repeated_run_is_found(spark):
     assert got == gone - stay and len(got) > 100
 
 
-def test_bands_are_tuned():
-    b, r = substring.bands_for(0.8)
-    assert 1 - (1 - 0.8**r) ** b >= 0.9995 and b * r <= 96
+def test_bands_miss_no_link():
+    rng = np.random.default_rng(6)
+    for n in [1, 3, 4, 5, 9, 13, 20, 40]:
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            b = np.unique(np.r_[rng.permutation(a)[: len(a) - int(rng.integers(0, n // 5 + 1))], rng.integers(0, 1 << 62, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)])
+            if similar.alike(a, b, 80) and not np.array_equal(a, b):
+                p, q = (x[: int(substring.bands_of(np.array([len(x)]), 80)[0])] for x in (a, b))
+                assert np.intersect1d(p, q).size
 
 
 def test_contaminated(spark):
@@ -288,7 +356,7 @@ def test_sql_agrees_on_the_small_table(spark):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for f, sql in ((setjoin.op9_ngram_join, setjoin.OP9_SQL), (decontaminate.op5_decontaminate, decontaminate.OP5_SQL)):
+    for f, sql in ((setjoin.op9_ngram_join, setjoin.OP9_SQL), (substring.op8_substring_dedup, substring.OP8_SQL), (decontaminate.op5_decontaminate, decontaminate.OP5_SQL)):
         df = f(spark, sf)
         want = con.sql(sql)
         assert sorted(tuple(r[c] for c in want.columns) for r in df.collect()) == sorted(want.fetchall())

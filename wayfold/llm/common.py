@@ -71,9 +71,9 @@ def text_of(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def row_key() -> Column:
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A row's own key, made of its content: (absent, doc_id, text_hash), so rows without a doc_id come last; only rows equal in doc_id and text share one."""
-    return F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
+    return F.struct(F.col(doc_id).isNull().alias("absent"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -83,16 +83,16 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-def _check(df: DataFrame, column: str) -> None:
-    """Hashes of different sets that agree in 64 bits are found by the second hash; none is expected at any size in use."""
-    if df.where(column).limit(1).count():
+def one_hash_each(df: DataFrame, differ: str) -> None:
+    """Hashes of different sets that agree in 64 bits are found by a second hash."""
+    if df.where(differ).limit(1).count():
         raise ValueError("two different sets share a 64-bit hash; run again with another seed")
 
 
 def nodes_of(rows: DataFrame, *first: str) -> DataFrame:
     """(h, first...): the least row of each distinct set, as a struct `first`; `rows` has h, h2 and the columns named."""
     out = written(rows.groupBy("h").agg(F.min(F.struct(*first)).alias("first"), F.min("h2").alias("_lo"), F.max("h2").alias("_hi")), "nodes")
-    _check(out, "_lo <> _hi")
+    one_hash_each(out, "_lo <> _hi")
     return out.drop("_lo", "_hi")
 
 
