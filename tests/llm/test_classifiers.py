@@ -1,5 +1,6 @@
 """Toxicity, quality, URLs and the pipeline."""
 
+import itertools
 import random
 
 import duckdb
@@ -28,8 +29,9 @@ def toy(seed=0, n=400):
 
 
 @pytest.fixture(scope="module")
-def svm():
-    return toxicity.fit_svm([(y, sorted(set(toxicity.units_in(t)))) for y, t in toy()])
+def svm(spark):
+    texts = spark.createDataFrame([(k, y, t) for k, (y, t) in enumerate(toy())], "doc_id long, grade int, text string")
+    return toxicity.fit_svm(toxicity.bags_of(texts))
 
 
 def top(svm, text):
@@ -39,7 +41,7 @@ def top(svm, text):
 def test_toxic_words_are_learnt_and_gaps_tolerated(svm):
     right = sum((top(svm, t) >= 0.3) == bool(y) for y, t in toy(1, 300))
     assert right >= 290
-    for text in ("such an i d i o t", "i.d.i.o.t", "Idiot!!", "you idioot", "wortthless"):
+    for text in ("such an i d i o t", "i.d.i.o.t", "Idiot!!", "you idioot", "wortthless", "an idxiot", "idiozt", "scumqbag"):
         assert top(svm, text) >= 0.3, text
     assert top(svm, "") < 0.3 and top(svm, "ter lomi star") < 0.3
 
@@ -53,8 +55,10 @@ def test_toxicity_rows(spark, svm):
     assert toxicity.score_toxicity(df.limit(0), svm).count() == 0
 
 
-def test_without_both_labels_every_text_gets_the_share():
-    svm = toxicity.fit_svm([(0, ["a", "word"])] * 10)
+def test_without_both_labels_every_text_gets_the_share(spark):
+    texts = spark.createDataFrame([(k, 0, "a word") for k in range(10)], "doc_id long, grade int, text string")
+    svm = toxicity.fit_svm(toxicity.bags_of(texts))
+    assert toxicity.fit_svm(toxicity.bags_of(texts.limit(0))).chance(0.0) == 0.5
     assert top(svm, "word") == top(svm, "idiot") < 0.3
 
 
@@ -63,6 +67,36 @@ def test_kernel_is_a_sum_over_shared_fours():
     assert np.isclose((w * w).sum(), 1) and a.shape == (1, 15)
 
 
+def test_kernel_against_all_subsequences():
+    """Landmark kernel, coordinates and collapsed weights against sums over subsequences of four letters, one by one."""
+
+    def all_fours(unit):
+        u, out = f"^{unit}$", {}
+        for at in itertools.combinations(range(len(u)), 4):
+            if at[3] - at[0] < toxicity.SPAN:
+                key = "".join(u[a] for a in at)
+                out.setdefault(key, []).append(toxicity.DECAY ** (at[3] - at[0] + 1))
+        length = sum(w * w for ws in out.values() for w in ws) ** 0.5
+        return {k: sum(ws) / length for k, ws in out.items()}
+
+    marks, units = ["idiot", "worthless", "the"], ["idxiot", "idiot", "worth", "and", "thesis"]
+    m = toxicity.Landmarks(marks)
+    want = [[sum(v * all_fours(b).get(k, 0) for k, v in all_fours(a).items()) for b in marks] for a in units]
+    assert np.allclose(m.kernel(units), want, atol=1e-3)
+    w = np.array([0.5, 1.0, -2.0])
+    svm = toxicity.SubsequenceSvm(m.collapsed(w), 0.25)
+    want = m.coordinates(units) @ w + 0.25
+    assert want.max() > 0.3 and np.allclose(svm.margins(units), np.maximum(want, 0.25), atol=1e-3)  # nothing scores below the bare bias
+
+
+def test_drop_toxic_keeps_columns_of_any_name(spark, svm, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda *a: svm)
+    monkeypatch.setattr(toxicity, "table", lambda *a: None)
+    df = spark.createDataFrame([(1, "the idiot", "mine", 0.5, 1), (2, "ter lo", "mine", 0.5, 2), (2, None, None, None, None), (None, "ter", "x", 1.0, 3)], "doc_id long, text string, toxic string, toxic_score double, c0 int")
+    got = toxicity.drop_toxic(spark, df, "")
+    assert got.schema.names == df.schema.names and sorted(map(str, got.collect())) == sorted(map(str, df.where("doc_id IS NULL OR doc_id = 2").collect()))
+
+
 def test_ordinal_regression_orders_grades():
     rng = random.Random(2)
     rows, texts = [], []

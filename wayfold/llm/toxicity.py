@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, chunks_of, held_out, table, text_of
+from wayfold.llm.common import ChunkTable, chunks_of, held_out, large_batches, table, written
 from wayfold.llm.labelled import labelled_sample
 
 LETTERS = 64  # codes of letters; the last two are a unit's ends
@@ -110,43 +110,77 @@ class SubsequenceSvm:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * margin + self.shift))))
 
 
-def _runs(unit: str) -> list[str]:
-    """Letter runs of five, the unit's ends counted as letters."""
-    u = f"^{unit}$"
-    return [u[a : a + 5] for a in range(max(1, len(u) - 4))]
-
-
-def _gram_scores(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
-    """Log odds of letter runs, by documents; a start from which the machine picks its first units."""
-    grams = lambda units: {g for u in units for g in _runs(u)}
-    pos, neg = Counter(), Counter()
-    for s in toxic:
-        pos.update(grams(s))
-    for s in clean:
-        neg.update(grams(s))
-    a, b = len(toxic) + 1, len(clean) + 1
-    return {g: math.log(n / a) - math.log((neg[g] + 0.5) / b) + 0.5 * math.log(n) for g, n in pos.items() if n >= 3}
-
-
-def _squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Linear machine by Newton steps on the squared hinge loss."""
-    x = np.hstack([z, np.ones((len(z), 1), z.dtype)])
-    w = np.zeros(x.shape[1])
-    keep = np.full(x.shape[1], ridge)
-    keep[-1] = 1e-6
-    for _ in range(rounds):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        xa = x[on] * np.sqrt(cost[on])[:, None]
-        step = np.linalg.solve(xa.T @ xa + np.diag(keep), x[on].T @ (cost[on] * y[on] * slack[on]) - keep * w)
-        w = w + step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w[:-1], float(w[-1])
+#: Landmarks, rounds of choosing units, and Newton steps in each.
+LANDMARKS, ROUNDS, STEPS = 300, 4, 6
+#: Weights of all toxic bags and of all clean units.
+TOXIC_WEIGHT, CLEAN_WEIGHT, RIDGE = 400.0, 40_000.0, 1e-2
+
+
+def _runs(unit: Column) -> Column:
+    """Letter runs of five of a unit, its ends counted as letters."""
+    u = F.concat(F.lit("^"), unit, F.lit("$"))
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(u) - 4)), lambda k: F.substring(u, k, F.lit(5)))
+
+
+class Landmarks:
+    """Nyström coordinates: the kernel with the landmarks times the inverse root of their own kernel."""
+
+    def __init__(self, marks: list[str]):
+        rows: dict[int, int] = {}
+        cells = []
+        for own, codes, w in fours(marks):
+            for r, cs in zip(own, codes, strict=True):
+                cells += [(rows.setdefault(int(c), len(rows) + 1), r, v) for c, v in zip(cs, w, strict=True)]
+        self.at = np.zeros((len(rows) + 1, len(marks)), np.float32)  # row 0: slots that no landmark has
+        for a, b, v in cells:
+            self.at[a, b] += v
+        self.slots, self.places = np.array(list(rows), np.int64), np.array(list(rows.values()), np.int64)
+        value, vector = np.linalg.eigh(self.kernel(marks).astype(float))
+        self.root = (vector / np.sqrt(np.maximum(value, 1e-3))).astype(np.float32)
+
+    def kernel(self, units: list[str]) -> np.ndarray:
+        index = np.zeros(FOURS, np.int32)
+        index[self.slots] = self.places
+        out = np.zeros((len(units), self.at.shape[1]), np.float32)
+        for own, codes, w in fours(units):
+            slot = index[codes]
+            unit, k = np.nonzero(slot)
+            for part in range(0, len(unit), 1 << 15):  # few at a time, as each takes a row of kernel values
+                u, c = unit[part : part + (1 << 15)], k[part : part + (1 << 15)]
+                starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+                out[own[u[starts]]] += np.add.reduceat(self.at[slot[u, c]] * w[c][:, None], starts, 0)
+        return out
+
+    def coordinates(self, units: list[str]) -> np.ndarray:
+        return self.kernel(units) @ self.root
+
+    def collapsed(self, w: np.ndarray) -> np.ndarray:
+        """The linear machine `w` in coordinates as one weight for each slot."""
+        out = np.zeros(FOURS, np.float32)
+        out[self.slots] = (self.at @ (self.root @ w))[self.places]
+        return out
+
+
+def _hinge(x: np.ndarray, y: float, cost: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Curvature and slope of the squared hinge loss over rows `x` (the last column one) of label `y`."""
+    slack = 1 - y * (x @ w)
+    on = slack > 0
+    own = x[on].astype(float)
+    return own.T @ (own * cost[on, None]), own.T @ (cost[on] * y * slack[on])
+
+
+#: Letters that are put into each place inside a unit that is taught; what such units weigh beside the unit.
+INSERTED, INSERTED_WEIGHT = 3, 0.5
+
+
+def with_letters(unit: str) -> list[str]:
+    """The unit with one letter more, at each place inside, INSERTED letters by hash."""
+    h = zlib.crc32(unit.encode())
+    return [unit[:at] + chr(97 + (h >> at) * (k + 1) % 26) + unit[at:] for at in range(1, len(unit)) for k in range(INSERTED)]
 
 
 def _chances(margin: np.ndarray, label: np.ndarray, cut: float) -> tuple[float, float]:
-    """Slope and shift: the slope by logistic regression, the shift such that `cut` is the chance at the margin of best F1 (the middle of its gap)."""
+    """Slope and shift: the slope by logistic regression, the shift such that `cut` is the chance at the margin of best F1 (a third into its gap from below, as insults with a letter more lie there)."""
     hits, rest = label.sum(), len(label) - label.sum()
     target = np.where(label > 0, (hits + 1) / (hits + 2), 1 / (rest + 2))
     a, c = 1.0, 0.0
@@ -161,80 +195,121 @@ def _chances(margin: np.ndarray, label: np.ndarray, cut: float) -> tuple[float,
     f1 = 2 * np.cumsum(label[order]) / (np.arange(1, len(label) + 1) + hits)
     best = int(np.argmax(f1))
     low = margin[order[best + 1]] if best + 1 < len(order) else margin[order[best]] - 1
-    return a, math.log(cut / (1 - cut)) - a * (margin[order[best]] + low) / 2
+    return a, math.log(cut / (1 - cut)) - a * (margin[order[best]] + 2 * low) / 3
 
 
-def fit_svm(texts: list[tuple[int, list[str]]], landmarks: int = 150, rounds: int = 4, cut: float = 0.3, most_units: int = 60_000) -> SubsequenceSvm:
-    """From (label, units) of labelled texts; of the units of clean texts at most `most_units` by hash are taught.
+def fit_svm(bags: DataFrame, cut: float = 0.3) -> SubsequenceSvm:
+    """From `bags` (bag, grade: 1 toxic, 0 clean, held, units: distinct), a table that is read several times.
 
-    One text in five sets the slope and shift that turn margins into chances.
-
-    Without texts of both labels every text gets the share of toxic ones as its chance.
+    Units and their coordinates stay with the executors: by unit they are counted over bags, and every Newton step adds up
+    the curvature (as many numbers as LANDMARKS squared) and slope of each task. The driver has the landmarks, one unit of each toxic
+    bag and the sums. All units of the clean bags are taught. Held bags set the slope and shift that turn margins into
+    chances. Without bags of both labels every text gets the share of toxic ones as its chance.
     """
-    bags = [(y, {p for c in chunks for p in parts_of(unit_of(c)) if len(p) >= 3}) for y, chunks in texts]
-    fit = [b for n, b in enumerate(bags) if n % 5]
-    toxic, clean = [s for y, s in fit if y and s], [s for y, s in fit if not y]
-    none = SubsequenceSvm(np.zeros(FOURS, np.float32), -1.0)
-    if not toxic or not any(clean):
-        share = (sum(y for y, _ in bags) + 0.5) / (len(bags) + 1)
-        none.slope, none.shift = 0.0, math.log(share / (1 - share))
-        return none
-    first = _gram_scores(toxic, clean)
-    start = lambda u: max(first.get(g, -9.0) for g in _runs(u))
-
-    known = set().union(*clean)
-    ranked = sorted({max(s, key=lambda u: (start(u), u)) for s in toxic} - known, key=lambda u: (-start(u), u)) or sorted(toxic[0])
-    spread = lambda us: sorted(us, key=lambda u: zlib.crc32(u.encode()))
-    marks = list(dict.fromkeys(ranked[: landmarks // 3] + spread(ranked)[: landmarks // 3] + spread(known)[: landmarks // 3]))
-    rows: dict[int, int] = {}
-    cells = []
-    for own, codes, w in fours(marks):
-        for r, cs in zip(own, codes, strict=True):
-            cells += [(rows.setdefault(int(c), len(rows) + 1), r, v) for c, v in zip(cs, w, strict=True)]
-    at = np.zeros((len(rows) + 1, len(marks)), np.float32)  # row 0: slots that no landmark has
-    for a, b, v in cells:
-        at[a, b] += v
-    index = np.zeros(FOURS, np.int64)
-    index[list(rows)] = list(rows.values())
-
-    def kernel(units: list[str]) -> np.ndarray:
-        out = np.zeros((len(units), len(marks)), np.float32)
-        for own, codes, w in fours(units):
-            slot = index[codes]
-            unit, k = np.nonzero(slot)
-            if len(unit):
-                starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-                out[own[unit[starts]]] = np.add.reduceat(at[slot[unit, k]] * w[k][:, None], starts, 0)
-        return out
-
-    value, vector = np.linalg.eigh(kernel(marks).astype(float))
-    root = (vector / np.sqrt(np.maximum(value, 1e-3))).astype(np.float32)
-    pool = spread(known)[:most_units]
-    below = kernel(pool) @ root
-    names = sorted(set().union(*toxic) - known)
-    place = {u: n for n, u in enumerate(names)}
-    above = kernel(names) @ root
-    # a toxic text whose units all stand in clean texts too can't teach a unit
-    own = [np.array([place[u] for u in s if u in place]) for s in toxic]
-    own = [x for x in own if len(x)]
-    score = np.array([start(u) for u in names])
-    for _ in range(rounds):
-        picked = np.array([x[np.argmax(score[x])] for x in own], np.int64)
-        z = np.vstack([above[picked], below])
-        y = np.r_[np.ones(len(picked)), -np.ones(len(below))]
-        cost = np.r_[np.full(len(picked), 1 / max(1, len(picked))), np.full(len(below), 4 / len(below))] * 400
-        w, b = _squared_hinge(z, y, cost)
-        score = above @ w + b
-    alpha = root @ w  # over kernel values with landmarks
-    weights = np.zeros(FOURS, np.float32)
-    weights[list(rows)] = (at @ alpha)[list(rows.values())]
-    svm = SubsequenceSvm(weights, b)
-
-    held = [b for n, b in enumerate(bags) if n % 5 == 0]
-    margin = np.array([svm.margins(sorted(s) or [""]).max() for _, s in held])
-    label = np.array([y for y, _ in held], float)
+    spark = bags.sparkSession
+    sizes = {(r.grade, r.held): r.n for r in bags.groupBy("grade", "held").agg(F.count("*").alias("n")).collect()}
+    fit = bags.where("NOT held")
+    pairs = fit.select("bag", "grade", F.explode("units").alias("unit"))
+    units = written(pairs.groupBy("unit").agg(F.sum("grade").alias("pos"), F.sum(1 - F.col("grade")).alias("neg")), "toxic-units")
+    known, new = units.where("neg > 0"), units.where("neg = 0")
+    if not sizes.get((1, False)) or not new.limit(1).count() or not known.limit(1).count():
+        toxic, all_ = sum(n for (y, _), n in sizes.items() if y), sum(sizes.values())
+        share = (toxic + 0.5) / (all_ + 1)
+        return SubsequenceSvm(np.zeros(FOURS, np.float32), -1.0, 0.0, math.log(share / (1 - share)))
+    # log odds of letter runs by bags: a start from which the first units are picked
+    grams = pairs.select("bag", "grade", F.explode(_runs(F.col("unit"))).alias("g")).distinct().groupBy("g").agg(F.sum("grade").alias("pos"), F.sum(1 - F.col("grade")).alias("neg"))
+    a, b = sizes[1, False] + 1, sizes.get((0, False), 0) + 1
+    odds = F.log(F.col("pos") / a) - F.log((F.col("neg") + 0.5) / b) + 0.5 * F.log("pos")
+    scored = grams.where("pos >= 3").select("g", odds.alias("start"))
+    starts = new.select("unit", F.explode(_runs(F.col("unit"))).alias("g")).join(scored, "g", "left").groupBy("unit").agg(F.coalesce(F.max("start"), F.lit(-9.0)).alias("start"))
+    # a toxic bag whose units all stand in clean bags too can't teach a unit
+    own = written(pairs.where("grade = 1").join(starts, "unit").select("bag", "unit", "start"), "toxic-own")
+    first = own.groupBy("bag").agg(F.max(F.struct("start", "unit")).alias("m")).groupBy("m.unit").agg(F.max("m.start").alias("start")).collect()  # one a bag
+    ranked = [r.unit for r in sorted(first, key=lambda r: (-r.start, r.unit))]
+    third = LANDMARKS // 3
+    spread = sorted(ranked, key=lambda u: zlib.crc32(u.encode()))
+    clean = known.orderBy(F.crc32(F.col("unit").cast("binary")), "unit").limit(third).collect()
+    marks = Landmarks(list(dict.fromkeys(ranked[:third] + spread[:third] + [r.unit for r in clean])))
+    sent = spark.sparkContext.broadcast(marks)
+
+    def coordinates(df: DataFrame, name: str) -> DataFrame:
+        at = df.columns.index("unit")
+
+        def add(batches):
+            for x in batches:
+                z = sent.value.coordinates(x.column(at).to_pylist()).astype("<f4")
+                yield pa.RecordBatch.from_arrays([*x.columns, pa.array([r.tobytes() for r in z], pa.binary())], [*x.schema.names, "z"])
+
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+        return written(df.mapInArrow(add, f"{fields}, z binary"), name)
+
+    with large_batches(spark, 4_096):
+        below = coordinates(known.select("unit", "neg"), "toxic-below")
+        above = coordinates(own, "toxic-above")
+    # clean units count by their bags: what many clean texts have must not be found toxic
+    unit_cost = CLEAN_WEIGHT / below.agg(F.sum("neg")).first()[0]
+
+    def matrix(column) -> np.ndarray:
+        z = np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1)
+        return np.hstack([z, np.ones((len(z), 1), np.float32)])
+
+    def picked(w: np.ndarray | None) -> list:
+        """Of each toxic bag the unit that scores highest."""
+
+        def best(batches):
+            top: dict[int, tuple] = {}
+            for x in batches:
+                score = x.column(2).to_numpy() if w is None else matrix(x.column(3)) @ w
+                for bag, unit, s in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), score.tolist(), strict=True):
+                    if bag not in top or (s, unit) > top[bag]:
+                        top[bag] = (s, unit)
+            yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int64()), pa.array([u for _, u in top.values()], pa.string()), pa.array([s for s, _ in top.values()], pa.float64())], ["bag", "unit", "s"])
+
+        with large_batches(spark, 4_096):
+            return [r.m.unit for r in above.mapInArrow(best, "bag long, unit string, s double").groupBy("bag").agg(F.max(F.struct("s", "unit")).alias("m")).collect()]
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def part(batches):
+            total = None
+            for x in batches:
+                m = matrix(x.column(2))
+                own = _hinge(m, -1.0, unit_cost * x.column(1).to_numpy(), w)
+                total = own if total is None else (total[0] + own[0], total[1] + own[1])
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array([t.tobytes()], pa.binary()) for t in total], ["h", "g"])
+
+        with large_batches(spark, 4_096):
+            rows = below.mapInArrow(part, "h binary, g binary").collect()  # one a task
+        k = len(w)
+        return sum(np.frombuffer(r.h).reshape(k, k) for r in rows), sum(np.frombuffer(r.g) for r in rows)
+
+    w = None
+    for _ in range(ROUNDS):
+        names = Counter(picked(w))
+        each = [(u, n, v) for u, n in names.items() for v in [[u], with_letters(u)]]
+        x = np.hstack([z := marks.coordinates([v for *_, vs in each for v in vs]), np.ones((len(z), 1), np.float32)])
+        # a unit counts once for each bag that it was picked in, and the ones with a letter more share its weight
+        cost = np.array([TOXIC_WEIGHT / names.total() * n * (1 if vs[0] == u else INSERTED_WEIGHT / len(vs)) for u, n, vs in each for _ in vs])
+        w = np.zeros(x.shape[1]) if w is None else w
+        keep = np.full(len(w), RIDGE)
+        keep[-1] = 1e-6
+        for _ in range(STEPS):
+            (h, g), (h2, g2) = sums(w), _hinge(x, 1.0, cost, w)
+            step = np.linalg.solve(h + h2 + np.diag(keep), g + g2 - keep * w)
+            w = w + step
+            if np.abs(step).max() < 1e-3:
+                break
+    svm = SubsequenceSvm(marks.collapsed(w[:-1]), float(w[-1]))
+
+    def margins(batches):
+        for x in batches:
+            m = [float(svm.margins(u or [""]).max()) for u in x.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(m, pa.float64())], ["grade", "margin"])
+
+    held = bags.where("held").select("grade", "units").mapInArrow(margins, "grade int, margin double").orderBy("margin", "grade").collect()  # two numbers a held bag
+    label = np.array([r.grade for r in held], float)
     if 0 < label.sum() < len(label):
-        svm.slope, svm.shift = _chances(margin, label, cut)
+        svm.slope, svm.shift = _chances(np.array([r.margin for r in held]), label, cut)
     return svm
 
 
@@ -242,33 +317,39 @@ def fit_svm(texts: list[tuple[int, list[str]]], landmarks: int = 150, rounds: in
 MOST_LABELLED = 2_400
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> SubsequenceSvm:
-    """The machine from at most `most` labelled documents: half of them toxic where there are as many."""
+def bags_of(texts: DataFrame) -> DataFrame:
+    """(bag, grade, held, units: the distinct units of three letters and more) of (doc_id, grade, text); one in five is held."""
 
     def units(batches):
         for b in batches:
-            lists = [sorted(set(units_in(t))) for t in b.column(2).to_pylist()]
+            lists = [sorted({p for c in units_in(t) for p in parts_of(unit_of(c)) if len(p) >= 3}) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "grade", "units"])
 
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    made = texts.mapInArrow(units, f"doc_id {kind}, grade int, units array<string>")
+    held = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(5)) == 0
+    return written(made.select(F.monotonically_increasing_id().alias("bag"), "grade", held.alias("held"), "units"), "toxic-bags", "zstd")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> SubsequenceSvm:
+    """The machine from at most `most` labelled documents: half of them toxic where there are as many."""
     toxic = F.col("toxic")
-    texts: list = []
-    for label in (0, 1):
-        chosen = labelled_sample(docs, labels, F.when(toxic == label, toxic), most // 2)
-        kind = chosen.schema["doc_id"].dataType.simpleString()
-        texts += [(r.grade, r.units) for r in chosen.mapInArrow(units, f"doc_id {kind}, grade int, units array<string>").orderBy("doc_id").select("grade", "units").collect()]
-    return fit_svm(texts)
+    clean, bad = (labelled_sample(docs, labels, F.when(toxic == label, toxic), most // 2) for label in (0, 1))
+    return fit_svm(bags_of(clean.union(bad)))
 
 
-def score_toxicity(docs: DataFrame, svm: SubsequenceSvm, cut: float = 0.3, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, svm: SubsequenceSvm, cut: float = 0.3, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Adds toxic_score (0 to 1) and toxic (score >= `cut`) to the columns `keep` of every row (by default doc_id).
 
     Null and empty texts have no units and get the score of the bare bias; very long texts are scored whole, by their worst
     unit. Equal texts get equal scores; every row gives one row; an empty table gives none. Columns of `docs` beside `keep`
-    are left out, so names can't clash.
+    are left out; `keep` can't hold the two names that are added.
     """
-    keep = keep or ["doc_id"]
+    keep = ["doc_id"] if keep is None else keep
+    if clash := {"toxic_score", "toxic"} & set(keep):
+        raise ValueError(f"rename {', '.join(sorted(clash))} first")
     sent = docs.sparkSession.sparkContext.broadcast(svm)
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep)), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
     def score(batches):
         known = ChunkTable(lambda new: sent.value.margins(new).tolist())
@@ -276,20 +357,29 @@ def score_toxicity(docs: DataFrame, svm: SubsequenceSvm, cut: float = 0.3, keep:
             lists = [units_in(t) for t in b.column(len(keep)).to_pylist()]
             known.learn(lists)
             s = [sent.value.chance(max(map(known.__getitem__, x))) for x in lists]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*keep, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], [*b.schema.names[:-1], "toxic_score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{fields}, toxic_score double").withColumn("toxic", F.col("toxic_score") >= cut)
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    out = rows.mapInArrow(score, f"{fields}toxic_score double")
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(keep)), "toxic_score", (F.col("toxic_score") >= cut).alias("toxic"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`score_toxicity` of all documents by the machine that `train` fits on those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").cast("int").alias("predicted"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that score 0.3 or more go."""
+    """Pipeline stage: documents that score 0.3 or more go.
+
+    Null and empty texts have no unit that could be toxic; equal texts are decided alike, rows with one doc_id or none each for
+    itself. Columns of any name and type are kept; an empty table gives none; without labels of both kinds no document goes.
+    """
     svm = train(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    return score_toxicity(docs, svm, keep=columns).where(~F.col("toxic")).select(*columns)
+    if not svm.weights.any():
+        return docs
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    kept = score_toxicity(numbered, svm, keep=numbered.columns, text=numbered.columns[docs.columns.index("text")]).where(~F.col("toxic"))
+    return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
