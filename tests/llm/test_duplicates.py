@@ -330,17 +330,22 @@ def test_contaminated(spark):
             at = rng.randrange(len(words) + 1)
             words[at:at] = [x.upper() + "," for x in w[cut:]]
         rows.append((d, " ".join(words)))
-    rows += [(500, None), (501, items[0][1]), (None, items[3][1]), (502, "same words same words HERE"), (501, "other text")]
+    short = next(t for _, t in items[:25] if len(t.split()) == 3)
+    rows += [(500, None), (501, items[0][1]), (None, items[3][1]), (502, "same words same words HERE"), (501, "other text"), (503, f"long {short} " + "text " * 40), (504, short)]
     got = {(r.doc_id, r.item_id): (r.shared, r.item_shingles) for r in decontaminate.contaminated(frame(spark, rows), spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, sh string")).collect()}
 
     def sh(t):
         w = re.findall(r"[^\W_]+", (t or "").lower())
         return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
+    def held(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return {tuple(w[k : k + n]) for n in range(1, 6) for k in range(len(w) - n + 1)}
+
     per = {}
     for d, t in rows:
         if d is not None:
-            per.setdefault(d, set()).update(sh(t))
+            per.setdefault(d, set()).update(held(t))
     want = {}
     for d, s in per.items():
         for i, t in items:
@@ -351,6 +356,15 @@ def test_contaminated(spark):
     assert decontaminate.contaminated(frame(spark, rows).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_drop_contaminated_decides_by_row(spark, tmp_path):
+    item = "one two three four five six seven"
+    spark.createDataFrame([(1, item), (2, "four words in all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, f"x {item} y", "a"), (1, "clean text of the same id", "a"), (None, f"{item} z", "b"), (None, "clean", "b"), (2, None, "c"), (3, "there are FOUR words, in all of it", "c"), (4, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = decontaminate.drop_contaminated(spark, df, str(tmp_path))
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, df.where("text LIKE 'clean%' OR text IS NULL OR text = ''").collect()))
+
+
 def test_sql_agrees_on_the_small_table(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()

@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import table
+from wayfold.llm.common import row_key, sendable, table, written
 
 #: Words are runs of letters and digits of the lower-cased text.
 BETWEEN = r"[^\p{L}\p{N}]+"
 #: Rows of sketches that are broadcast at most (16 bytes each); more are joined by shuffling.
 MOST_BROADCAST = 1_000_000
+#: Candidate pairs that are sent with their items' shingles (some 500 bytes each) at most.
+MOST_PAIRS = 20_000
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
-def shingles(w: Column, size: int = 5) -> Column:
-    """Hashes of the runs of `size` words; of fewer words the whole sequence is one, of none there is none.
+def runs(w: Column, *sizes: int) -> Column:
+    """Hashes of the runs of words of each of these sizes.
 
     The words are bound to a lambda's variable, so they are made once a row and not once for each run.
     """
 
-    def runs(ws: Column) -> Column:
+    def of(ws: Column, size: int) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.size(ws) - size), lambda i: F.xxhash64(*(F.get(ws, i + k) for k in range(size))))
-        return F.when(F.size(ws) >= size, each).when(F.size(ws) > 0, F.array(F.xxhash64(ws))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size(ws) >= size, each).otherwise(F.array().cast("array<bigint>"))
 
-    return F.get(F.transform(F.array(w), runs), 0)
+    return F.get(F.transform(F.array(w), lambda ws: F.concat(*(of(ws, k) for k in sizes))), 0)
+
+
+def item_shingles(items: DataFrame, size: int) -> DataFrame:
+    """(item_id, words, sh) of the items that have words: the hashes of the runs of `size` words, or of fewer words all of them as one; rows of one id have the shingles of all."""
+    w = items.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("w"))
+    own = F.coalesce(*(F.when(F.size("w") == k, runs(F.col("w"), k)) for k in range(1, size)), runs(F.col("w"), size))
+    each = w.where("size(w) > 0").select("item_id", F.least(F.size("w"), F.lit(size)).alias("words"), F.explode(own).alias("h"))
+    return each.groupBy("item_id").agg(F.collect_set("words").alias("words"), F.array_sort(F.collect_set("h")).alias("sh"))
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
@@ -38,59 +48,63 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     holds one value of its sketch at least: the search loses nothing. `least` is the shingles that a document must have.
     """
     size = F.size("sh")
-    bucket = F.floor(F.log2(size.cast("double"))).cast("int")
-    most = F.max(size).over(_by("bucket"))
-    sized = items.where(size > 0).withColumn("bucket", bucket).withColumn("k", (F.floor((1 - threshold) * most + 1e-9) + 1).cast("int"))
+    sized = items.where(size > 0).withColumn("bucket", F.floor(F.log2(size.cast("double"))).cast("int"))
+    most = sized.groupBy("bucket").agg(F.max(size).alias("most"))  # a row for each power of two
+    sized = sized.join(F.broadcast(most), "bucket").withColumn("k", (F.floor((1 - threshold) * F.col("most") + 1e-9) + 1).cast("int"))
     bottom = F.slice(F.array_sort(F.transform("sh", lambda h: F.struct(F.xxhash64(h, F.lit(17)).alias("o"), h.alias("h")))), 1, F.col("k"))
     return sized.select("item_id", F.ceil(threshold * size - 1e-9).alias("least"), F.explode(bottom).alias("b")).select("b.h", "item_id", "least")
 
 
-def _by(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     """Rows (doc_id, item_id, shared, item_shingles, containment) where a document has the share `threshold` of an item's distinct shingles.
 
-    Candidates come from the sketches, and each is verified by its exact shingles. Null and empty texts hold nothing and null
-    and empty items are in nothing; an item of fewer than `size` words is one shingle, found in documents of just those words;
-    null ids are left out; rows with one id count as one document (or item) with the shingles of all; other columns are left
-    out; an empty table gives none. Whole texts are searched, however long.
+    Candidates come from the sketches, and each is verified by all of its shingles, compared by 64-bit hashes. An item of fewer
+    than `size` words is one shingle of its own size, found anywhere in a document. Null and empty texts hold nothing and null
+    and empty items are in nothing; null ids are left out; rows with one id count as one document (or item) with the shingles
+    of all; other columns are left out; an empty table gives none. Whole texts are searched, however long.
     """
-    spark = docs.sparkSession
-    each = items.where("item_id IS NOT NULL").select("item_id", F.explode(shingles(words(F.col("text")), size)).alias("h"))
-    sets = each.groupBy("item_id").agg(F.array_sort(F.collect_set("h")).alias("sh"))
-    marks = sketches(sets, threshold)
-    if marks.count() <= MOST_BROADCAST:
-        marks = F.broadcast(marks)
-    hashed = docs.where("doc_id IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingles(F.col("w"), size).alias("sh"))
+    sets = written(item_shingles(items, size), "items")
+    sizes = sorted({size, *(r.k for r in sets.select(F.explode("words").alias("k")).distinct().collect())})  # `size` numbers at most
+    marks = sendable(sketches(sets, threshold), MOST_BROADCAST)
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"))
+    hashed = own.select("doc_id", runs(words(F.col("text")), *sizes).alias("sh"))
     found = hashed.select("doc_id", F.size("sh").alias("n"), F.explode("sh").alias("h")).join(marks, "h").where("n >= least")
-    pairs = found.select("doc_id", "item_id").distinct()
-    wanted = pairs.join(sets.select("item_id", "sh"), "item_id").select("doc_id", "item_id", F.col("sh").alias("item_sh"))
-    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id")
-    own = named.select("doc_id", "item_id", "item_sh", F.array_intersect("item_sh", shingles(words(F.col("text")), size)).alias("both"))
-    merged = own.select("doc_id", "item_id", F.size("item_sh").cast("long").alias("item_shingles"), F.explode("both").alias("h")).groupBy("doc_id", "item_id", "item_shingles").agg(F.countDistinct("h").alias("shared"))
+    pairs = written(found.select("doc_id", "item_id").distinct(), "candidates")
+    wanted = pairs.join(sets.select("item_id", "sh"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "sh")).alias("items"))
+    # texts are shuffled only where the candidates are too many to be sent
+    named = own.join(F.broadcast(wanted), "doc_id") if pairs.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS else own.join(wanted, "doc_id")
+    each = named.select("doc_id", runs(words(F.col("text")), *sizes).alias("all"), F.explode("items").alias("i"))
+    both = each.select("doc_id", "i.item_id", F.size("i.sh").cast("long").alias("item_shingles"), F.explode(F.array_intersect("i.sh", "all")).alias("h"))
+    merged = both.groupBy("doc_id", "item_id", "item_shingles").agg(F.countDistinct("h").alias("shared"))
     out = merged.select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment"))
     return out.where(F.col("shared") >= F.ceil(threshold * F.col("item_shingles") - 1e-9))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`contaminated` of all documents by all benchmark items at its defaults."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that hold a benchmark item go.
+
+    Rows are told apart by doc_id and text, so rows of one doc_id are decided each for itself, and those without a doc_id too.
+    Null and empty texts hold nothing and stay; repeated rows stay or go alike; columns of any name are kept; an empty table
+    gives none, and an empty benchmark takes none.
+    """
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = numbered.withColumn("row", row_key(at["doc_id"], at["text"]))
+    bad = written(contaminated(rows.select(F.col("row").alias("doc_id"), F.col(at["text"]).alias("text")), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    return rows.join(sendable(bad), "row", "left_anti").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents),
 b AS (SELECT item_id, [x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, '  ')] ELSE [] END) AS x FROM d),
-bs AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, '  ')] ELSE [] END) AS x FROM b),
+z AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS x FROM d, z),
+bs AS (SELECT DISTINCT item_id, unnest([array_to_string(w[i:i + least(len(w), 5) - 1], ' ') FOR i IN range(1, len(w) - least(len(w), 5) + 2)]) AS x FROM b WHERE len(w) > 0),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*)::BIGINT AS shared, n.n::BIGINT AS item_shingles, count(*) / n.n::DOUBLE AS containment
 FROM ds JOIN bs USING (x) JOIN n USING (item_id) GROUP BY doc_id, item_id, n.n HAVING count(*) >= ceil(0.8::DOUBLE * n.n - 1e-9)
