@@ -11,10 +11,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, chunks_of, shuffle_partitions, table, text_of, written
+from wayfold.llm.common import ChunkTable, shuffle_partitions, table, text_of, written
 from wayfold.llm.tokens import encoder
 
 SLOTS, DIMS, BITS = 256, 3, 10
+#: Chunks whose ids a worker keeps.
+CHUNKS_KEPT = 700_000
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -50,12 +52,10 @@ def projection(slots: int = SLOTS, dims: int = DIMS) -> np.ndarray:
     return np.random.default_rng(7).choice([-1.0, 1.0], (slots, dims))
 
 
-def curve_keys(ids: list[np.ndarray], plane: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Hilbert keys of documents by their token ids: counts hashed to slots, scaled to length one, projected, cut to a grid."""
-    v = np.zeros((len(ids), len(plane)))
-    for n, x in enumerate(ids):
-        if len(x):
-            v[n] = np.bincount((x.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(11)) % np.uint64(len(plane)), minlength=len(plane))
+def curve_keys(ids: np.ndarray, sizes: np.ndarray, plane: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Hilbert keys of documents by their token ids, joined, `sizes` of each: counts hashed to slots, scaled to length one, projected, cut to a grid."""
+    slot = ((ids.astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(11)) % np.uint64(len(plane))).astype(np.int64)
+    v = np.bincount(slot + np.repeat(np.arange(len(sizes)) * len(plane), sizes), minlength=len(sizes) * len(plane)).reshape(len(sizes), len(plane))
     v = np.sqrt(v)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     flat = v @ plane
@@ -78,14 +78,19 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
-        known = ChunkTable(encoder(path).encode, {"": b""})
+        own = encoder(path)
+        known = ChunkTable(own.encode, {"": b""}, CHUNKS_KEPT)
         plane, end = projection(), np.array([end_id], unit).tobytes()
         for b in batches:
-            lists = [*map(chunks_of, b.column(1).to_pylist())]
+            lists = [*map(own.chunks, b.column(1).to_pylist())]
             known.learn(lists)
             ids = [b"".join(map(known.__getitem__, x)) + end for x in lists]
-            keys = curve_keys([np.frombuffer(x[: -unit.itemsize], unit) for x in ids], plane)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array([len(x) // unit.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
+            sizes = np.array([len(x) // unit.itemsize for x in ids], np.int64)
+            flat = np.frombuffer(b"".join(ids), unit)
+            rest = np.ones(len(flat), bool)
+            rest[np.cumsum(sizes) - 1] = False
+            keys = curve_keys(flat[rest], sizes - 1, plane)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
 
     def run_on(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -97,7 +102,7 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
 
     keyed = written(rows.mapInArrow(encode, f"doc_id {kind}, key long, n long, ids binary"), "pack-ids", "zstd")
     dealt = keyed.repartitionByRange(shuffle_partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id")
-    placed = written(dealt.mapInArrow(run_on, f"doc_id {kind}, part int, at long, n long, ids binary"), "pack-placed", "zstd")
+    placed = written(dealt.mapInArrow(run_on, f"doc_id {kind}, part int, at long, n long, ids binary"), "pack-placed")
     totals = {r.part: r.n for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row a partition
     before, total = {}, 0
     for p in sorted(totals):
@@ -128,9 +133,10 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pack` of all documents at its defaults."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of all documents that were kept."""
+    """Pipeline stage: the pieces of all documents that were kept, as `pack` gives them; null and empty texts, equal and null ids, repeated rows and empty tables as there."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -37,6 +37,10 @@ WORDS_KEPT = 800_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?%&$#*;:]*)")
 
 
+#: Texts that lower-casing changes letter by letter.
+_SAFE = re.compile(r"[\x00-\x7FÀ-ÖØ-öø-ÿ]*")
+
+
 class ChunkEncoder:
     """Ids of chunks as packed unsigned numbers of `unit`.
 
@@ -54,9 +58,16 @@ class ChunkEncoder:
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[k for t, k in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
+    def chunks(self, text: str) -> list[str]:
+        """Chunks whose ids in order are those of the text. Where it is safe they are in lower case, so that there are fewer different ones."""
+        if (text.isascii() or _SAFE.fullmatch(text)) and not any(t in text for t in self.added):
+            text = text.lower()
+        return chunks_of(text)
+
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.unit).tobytes()
 
@@ -79,7 +90,7 @@ class ChunkEncoder:
                 a = b
 
     def encode(self, chunks: list[str]) -> list[bytes]:
-        parts = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(c)) else None for c in chunks]
+        parts = [(c.lower(), "") if c.isascii() and c.isalpha() else (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(c)) else None for c in chunks]
         self._learn(list({p[0] for p in parts if p}.difference(self.words)))
         if marks := list({p[1] for p in parts if p}.difference(self.marks)):
             self.marks.update(zip(marks, self._direct(marks), strict=True))
