@@ -23,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def matching(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """`rows` joined with `keyed`, a written table, on `key`: of up to MOST_SENT keys only the rows that match are shuffled, and not all texts."""
+    keys = keyed.select(key).distinct()
+    some = rows.join(F.broadcast(keys), key, "left_semi") if keys.limit(MOST_SENT + 1).count() <= MOST_SENT else rows
+    return some.join(keyed, key)
+
+
 @contextlib.contextmanager
 def large_batches(spark: SparkSession, rows: int = 65_536) -> Iterator[None]:
     """Arrow batches of `rows` rows for what runs inside: for tables of a few numbers a row, not for texts."""

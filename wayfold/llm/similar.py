@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import large_batches, written
+from wayfold.llm.common import large_batches, sendable, written
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -135,15 +135,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
-def sketched(sets: DataFrame) -> DataFrame:
-    """(h, n, p): size and parity sketch of each set."""
-
-    def sketches(batches):
-        for b in batches:
-            s = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int32()), pa.array([parity(x).tobytes() for x in s], pa.binary())], ["h", "n", "p"])
-
-    return sets.mapInArrow(sketches, "h long, n int, p binary")
+def _sketched(batches):
+    for b in batches:
+        s = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int32()), pa.array([parity(x).tobytes() for x in s], pa.binary())], ["h", "n", "p"])
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -229,18 +224,29 @@ def _block_pairs(left: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, rounds: int = 2) -> DataFrame:
+def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sketches: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """(h, comp) of the nodes that are linked to others.
 
-    `signatures` has (sig, h); `sets_of` gives (h, s: the sorted set, 64-bit values as bytes) for a table of nodes (h).
+    `signatures` has (sig, h); `sets_of` gives (h, s: the sorted set, 64-bit values as bytes) for a table of nodes (h). Large
+    sets should come with `sketches` (h, n: size, p: parity sketch), a table: then sets are made only for pairs that these don't
+    rule out. Small ones are made once for all that share a signature.
     """
     with large_batches(signatures.sparkSession):
         members = written(shared_lists(signatures), "lists")  # without the hubs themselves
-    sets = written(sets_of(members.select("h").union(members.select("hub")).distinct()), "sets")
-    sketches = written(sketched(sets), "sketches")
+    nodes = members.select("h").union(members.select("hub")).distinct()
+    sets = None
+    if sketches is None:
+        sets = written(sets_of(nodes), "sets")
+        sketches = sets.mapInArrow(_sketched, "h long, n int, p binary")
+    else:
+        sketches = sketches.join(nodes, "h", "left_semi").dropDuplicates(["h"])
+    sketches = written(sketches, "sketches")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return written(verified(possible(pairs, sketches, percent), sets, percent), "links")
+        left = written(possible(pairs, sketches, percent), "pairs")
+        ends = left.select(F.col("a").alias("h")).union(left.select("b")).distinct()
+        own = written(sets_of(ends), "sets") if sets is None else sets.join(sendable(written(ends, "ends")), "h", "left_semi")
+        return written(verified(left, own, percent), "links")
 
     edges = links(members.select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct())
     comps = written(connected(edges), "comps")

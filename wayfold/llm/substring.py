@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, row_key, sendable, table, text_of, written
+from wayfold.llm.common import ChunkTable, matching, row_key, sendable, table, text_of, written
 from wayfold.llm.setjoin import word_table, words_of
 from wayfold.llm.similar import components, mix, one_hash_each, shingle_hashes
 
@@ -143,7 +143,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5, least
         """Made again from the text of one document of each node: the sets of all paragraphs are never stored."""
         some = made.select("doc_id", "h").join(sendable(written(wanted, "wanted")), "h", "left_semi")
         ids = some.groupBy("h").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-        ids = sendable(written(ids, "wanted-of"), 20_000)
+        ids = written(ids, "wanted-of")
 
         def again(batches):
             known = word_codes()
@@ -154,7 +154,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5, least
                 out = {int(x): p.shingles[a : a + n].tobytes() for x, o, a, n in zip(h, p.owner, starts, p.sizes, strict=True) if int(x) in wanted[o]}
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["h", "s"])
 
-        return rows.join(ids, "doc_id").select("hs", "text").mapInArrow(again, "h long, s binary").dropDuplicates(["h"])
+        return matching(rows, ids, "doc_id").select("hs", "text").mapInArrow(again, "h long, s binary").dropDuplicates(["h"])
 
     comps = components(made.select(F.explode("sigs").alias("sig"), "h"), sets_of, percent)
     seen = made.groupBy("h").agg(F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("n > 1 OR lo <> hi")
@@ -267,8 +267,8 @@ def repeated_passages(docs: DataFrame, run: int = 50) -> DataFrame:
     schema = f"doc_id {kind}, at array<int>, h array<long>"
     prints = exploded(written(rows.mapInArrow(fingerprints, schema), "fingerprints", "zstd"))
     twice = prints.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    near = prints.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    found = exploded(written(rows.join(near, "doc_id").select("doc_id", "text", "at").mapInArrow(runs, schema), "runs", "zstd"))
+    near = written(prints.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("at")), "near")
+    found = exploded(written(matching(rows, near, "doc_id").select("doc_id", "text", "at").mapInArrow(runs, schema), "runs", "zstd"))
     first = found.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("one"), F.count("*").alias("n")).where("n > 1")
     marks = found.join(first, "h").select("doc_id", F.struct("at", (F.struct("doc_id", "at") == F.col("one")).alias("first")).alias("m"))
     return marks.groupBy("doc_id").agg(F.collect_list("m").alias("marks")).mapInArrow(merged, f"doc_id {kind}, word int, words int")
@@ -321,10 +321,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def without(df: DataFrame, spans: DataFrame, take: Callable[[str, list], str]) -> DataFrame:
         """`df` with the words of `spans` (doc_id: a row's key, then what `take` is given) taken out, and `changed` set there."""
         each = spans.groupBy(F.col("doc_id").alias("row")).agg(F.sort_array(F.collect_set(F.struct(*spans.columns[1:]))).alias("spans"))
-        shortened = F.udf(lambda text, spans: take(text, [tuple(s) for s in spans]) if spans else text, "string")
-        new = F.when(F.col("spans").isNull(), F.col(text)).otherwise(shortened(F.when(F.col("spans").isNotNull(), F.col(text)), "spans"))
-        both = df.join(each, "row", "left")
-        return both.withColumn(text, new).withColumn("changed", F.col("changed") | F.col("spans").isNotNull()).drop("row", "spans")
+        each = written(each, "spans")
+        shortened = F.udf(lambda text, spans: take(text, [tuple(s) for s in spans]), "string")
+        new = matching(df, each, "row").withColumn(text, shortened(text, "spans")).withColumn("changed", F.lit(True)).drop("row", "spans")
+        return new.unionByName(df.join(sendable(each.select("row")), "row", "left_anti").drop("row"))
 
     key, of_rows = row_key(at["doc_id"], text), lambda df: df.select(F.col("row").alias("doc_id"), F.col(text).alias("text"))
     rows = numbered.withColumn("changed", F.lit(False)).withColumn("row", key)
