@@ -62,11 +62,41 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables written in each open scratch(), the innermost last.
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at the end, but for those given to what this yields, which go with the scratch around this one, if any."""
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._written_to)
+        return df
+
+    _scratch.append([])
+    try:
+        yield keep
+    finally:
+        paths = _scratch.pop()
+        for path in paths:
+            if path not in kept:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            elif _scratch:
+                _scratch[-1].append(path)
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes `df` to the shared folder and reads it again: lineage ends here, and lost executors cost no recomputation."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    if _scratch:
+        _scratch[-1].append(path)
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import row_key, sendable, table, written
+from wayfold.llm.common import row_key, scratch, sendable, table, written
 
 #: Words are runs of letters and digits of the lower-cased text.
 BETWEEN = r"[^\p{L}\p{N}]+"
@@ -95,7 +95,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     rows = numbered.withColumn("row", row_key(at["doc_id"], at["text"]))
-    bad = written(contaminated(rows.select(F.col("row").alias("doc_id"), F.col(at["text"]).alias("text")), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct(), "contaminated")
+    with scratch(spark) as keep:
+        found = contaminated(rows.select(F.col("row").alias("doc_id"), F.col(at["text"]).alias("text")), table(spark, sf_dir, "benchmark"))
+        bad = keep(written(found.select(F.col("doc_id").alias("row")).distinct(), "contaminated"))
     return rows.join(sendable(bad), "row", "left_anti").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, shuffle_partitions, table, text_of, written
+from wayfold.llm.common import ChunkTable, scratch, shuffle_partitions, table, text_of, written
 from wayfold.llm.tokens import encoder
 
 SLOTS, DIMS, BITS = 256, 3, 10
@@ -100,9 +100,10 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part), pa.int32()), pa.array(ends - n, pa.int64()), b.column(2), b.column(3)], ["doc_id", "part", "at", "n", "ids"])
             at = int(ends[-1]) if len(n) else at
 
-    keyed = written(rows.mapInArrow(encode, f"doc_id {kind}, key long, n long, ids binary"), "pack-ids", "zstd")
-    dealt = keyed.repartitionByRange(shuffle_partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id")
-    placed = written(dealt.mapInArrow(run_on, f"doc_id {kind}, part int, at long, n long, ids binary"), "pack-placed")
+    with scratch(spark) as keep:
+        keyed = written(rows.mapInArrow(encode, f"doc_id {kind}, key long, n long, ids binary"), "pack-ids", "zstd")
+        dealt = keyed.repartitionByRange(shuffle_partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id")
+        placed = keep(written(dealt.mapInArrow(run_on, f"doc_id {kind}, part int, at long, n long, ids binary"), "pack-placed"))
     totals = {r.part: r.n for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row a partition
     before, total = {}, 0
     for p in sorted(totals):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, matching, row_key, table, text_of, written
+from wayfold.llm.common import ChunkTable, matching, row_key, scratch, sendable, table, text_of, written
 from wayfold.llm.similar import components, mix, nodes_of, parity, set_hashes, shingle_sets
 
 #: What a posting costs beside a subset's row where nothing was measured.
@@ -124,9 +124,10 @@ def shingle_statistics(rows: DataFrame, size: int, percent: int) -> tuple[np.nda
         flat, n = np.r_[values[top], exact[0]], np.r_[counts[top], exact[1]]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) < len(top)), pa.array(flat.view(np.int64)), pa.array(n)], ["top", "e", "n"])
 
-    counted = written(rows.mapInArrow(summarise, "top boolean, e long, n long").groupBy("top", "e").agg(F.sum("n").alias("n")), "shingle-counts")
-    often = counted.where(F.col("top") & (F.col("n") >= FREQUENT_IN)).orderBy(F.desc("n"), "e").limit(MOST_FREQUENT).collect()
-    sums = counted.where(~F.col("top") & (F.col("n") < FREQUENT_IN)).agg(F.sum(F.col("n") * F.col("n")).alias("square"), F.sum("n").alias("n")).first()
+    with scratch(rows.sparkSession):
+        counted = written(rows.mapInArrow(summarise, "top boolean, e long, n long").groupBy("top", "e").agg(F.sum("n").alias("n")), "shingle-counts")
+        often = counted.where(F.col("top") & (F.col("n") >= FREQUENT_IN)).orderBy(F.desc("n"), "e").limit(MOST_FREQUENT).collect()
+        sums = counted.where(~F.col("top") & (F.col("n") < FREQUENT_IN)).agg(F.sum(F.col("n") * F.col("n")).alias("square"), F.sum("n").alias("n")).first()
     return np.array([r.e for r in often][::-1], np.int64).view(np.uint64), (sums.square / sums.n if sums.n else 1.0)
 
 
@@ -196,6 +197,7 @@ def ngram_join(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ngram_join` of all documents at its defaults."""
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
@@ -204,13 +206,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Linked are rows with a similarity of 0.8 in shingles of five words, unlike in the query op9_ngram_join.
     Rows are told apart by doc_id and text, so a row goes only if its own text is linked; of rows equal in both one stays.
-    Texts without words are linked with nothing, and all of them stay.
+    Texts without words are linked with nothing, and all of them stay. Columns of any name are kept; an empty table gives none.
     """
-    rows = docs.withColumn("_row", row_key())
-    groups = ngram_join(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80, size=5)
-    kept = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).agg((F.max("n_shingles") > 0).alias("_words"))
-    out = rows.join(kept, "_row").withColumn("_copy", F.when(F.col("_words"), 0).otherwise(F.monotonically_increasing_id()))
-    return out.dropDuplicates(["_row", "_copy"]).select(*docs.columns)
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names inside can't clash with the table's
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = numbered.withColumn("row", row_key(at["doc_id"], at["text"]))
+    with scratch(spark) as keep:
+        groups = ngram_join(rows.select(F.col("row").alias("doc_id"), F.col(at["text"]).alias("text")), percent=80, size=5)
+        each = groups.groupBy(F.col("doc_id").alias("row")).agg(F.count("*").alias("n"), (F.max("n_shingles") > 0).alias("words"), F.min("component_id").alias("least"))
+        each = written(each.where("row <> least OR (words AND n > 1)"), "grouped")
+        gone, twice = (keep(written(each.where(f).select("row"), "rows")) for f in ("row <> least", "row = least"))
+    rest = rows.join(sendable(gone), "row", "left_anti")
+    one = rest.join(sendable(twice), "row", "left_semi").dropDuplicates(["row"])
+    out = rest.join(sendable(twice), "row", "left_anti").unionByName(one)
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 OP9_SQL = r"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import large_batches, sendable, written
+from wayfold.llm.common import large_batches, scratch, sendable, written
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -231,6 +231,11 @@ def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     sets should come with `sketches` (h, n: size, p: parity sketch), a table: then sets are made only for pairs that these don't
     rule out. Small ones are made once for all that share a signature.
     """
+    with scratch(signatures.sparkSession) as keep:
+        return keep(_components(signatures, sets_of, percent, sketches, rounds))
+
+
+def _components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sketches: DataFrame | None, rounds: int) -> DataFrame:
     with large_batches(signatures.sparkSession):
         members = written(shared_lists(signatures), "lists")  # without the hubs themselves
     nodes = members.select("h").union(members.select("hub")).distinct()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, matching, row_key, sendable, table, text_of, written
+from wayfold.llm.common import ChunkTable, matching, row_key, scratch, sendable, table, text_of, written
 from wayfold.llm.setjoin import word_table, words_of
 from wayfold.llm.similar import components, mix, one_hash_each, shingle_hashes
 
@@ -101,21 +101,8 @@ class Pieces:
         return self.shingles[at < np.repeat(n, self.sizes)].view(np.int64), n
 
 
-def repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5, least_words: int = 30) -> DataFrame:
-    """The paragraphs that stand elsewhere too, within a document or over all, where they make up a passage of at least `least_words` words.
-
-    Paragraphs are the pieces into which content cuts the lines of a text (`cuts`): a short line is one, a longer one several,
-    and a copied passage gives the same pieces inside any line. Pieces under `size` words have no shingle and are left out.
-    Two link if the Jaccard similarity of their `size`-word shingles is percent / 100 or more; MinHash bands (the least hashes
-    of one permutation, as many as the size needs for a recall of 1) find the pairs, exact sets verify them, and linked ones
-    are one component. A passage is a run of paragraphs next to each other that each have a like one somewhere.
-
-    Rows: doc_id, para (number of the paragraph in its document), word and words (its first word and its length, in words of
-    `words_of`), passage_words (of its run), kept_doc_id and kept_para (the first paragraph of its component by doc_id and number),
-    kept (whether it is that one). Null and empty texts have no paragraphs; paragraphs equal in their shingles are one node, however many; rows with a
-    null doc_id are left out; rows with one doc_id are documents of one name, so all but the least of their equal paragraphs
-    are repeats; other columns are left out; an empty table gives none. Whole texts count, however long.
-    """
+def _alike(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """(doc_id, para, word, words, comp) of the paragraphs that have a like one."""
     rows = text_of(docs, "doc_id").where("doc_id IS NOT NULL")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -157,11 +144,29 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5, least
         return matching(rows, ids, "doc_id").select("hs", "text").mapInArrow(again, "h long, s binary").dropDuplicates(["h"])
 
     comps = components(made.select(F.explode("sigs").alias("sig"), "h"), sets_of, percent)
-    seen = made.groupBy("h").agg(F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("n > 1 OR lo <> hi")
-    seen = written(seen, "repeated")
+    seen = written(made.groupBy("h").agg(F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("n > 1 OR lo <> hi"), "repeated")
     one_hash_each(seen, "lo <> hi")
     nodes = written(seen.select("h").join(comps, "h", "full").select("h", F.coalesce("comp", "h").alias("comp")), "nodes")
-    full = written(made.select("doc_id", "para", "word", "words", "h").join(nodes, "h").drop("h"), "marked", "zstd")
+    return written(made.select("doc_id", "para", "word", "words", "h").join(nodes, "h").drop("h"), "marked", "zstd")
+
+
+def repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5, least_words: int = 30) -> DataFrame:
+    """The paragraphs that stand elsewhere too, within a document or over all, where they make up a passage of at least `least_words` words.
+
+    Paragraphs are the pieces into which content cuts the lines of a text (`cuts`): a short line is one, a longer one several,
+    and a copied passage gives the same pieces inside any line. Pieces under `size` words have no shingle and are left out.
+    Two link if the Jaccard similarity of their `size`-word shingles is percent / 100 or more; MinHash bands (the least hashes
+    of one permutation, as many as the size needs for a recall of 1) find the pairs, exact sets verify them, and linked ones
+    are one component. A passage is a run of paragraphs next to each other that each have a like one somewhere.
+
+    Rows: doc_id, para (number of the paragraph in its document), word and words (its first word and its length, in words of
+    `words_of`), passage_words (of its run), kept_doc_id and kept_para (the first paragraph of its component by doc_id and number),
+    kept (whether it is that one). Null and empty texts have no paragraphs; paragraphs equal in their shingles are one node, however many; rows with a
+    null doc_id are left out; rows with one doc_id are documents of one name, so all but the least of their equal paragraphs
+    are repeats; other columns are left out; an empty table gives none. Whole texts count, however long.
+    """
+    with scratch(docs.sparkSession) as keep:
+        full = keep(_alike(docs, percent, size))
     kept = full.groupBy("comp").agg(F.min(F.struct("doc_id", "para")).alias("first"))
     # runs of paragraphs with consecutive numbers; equal rows share a rank
     order = Window.partitionBy("doc_id").orderBy("para")
@@ -318,19 +323,23 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     text = at["text"]
 
-    def without(df: DataFrame, spans: DataFrame, take: Callable[[str, list], str]) -> DataFrame:
+    def without(df: DataFrame, spans: DataFrame, take: Callable[[str, list], str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """`df` with the words of `spans` (doc_id: a row's key, then what `take` is given) taken out, and `changed` set there."""
         each = spans.groupBy(F.col("doc_id").alias("row")).agg(F.sort_array(F.collect_set(F.struct(*spans.columns[1:]))).alias("spans"))
-        each = written(each, "spans")
+        each = keep(written(each, "spans"))
         shortened = F.udf(lambda text, spans: take(text, [tuple(s) for s in spans]), "string")
         new = matching(df, each, "row").withColumn(text, shortened(text, "spans")).withColumn("changed", F.lit(True)).drop("row", "spans")
         return new.unionByName(df.join(sendable(each.select("row")), "row", "left_anti").drop("row"))
 
     key, of_rows = row_key(at["doc_id"], text), lambda df: df.select(F.col("row").alias("doc_id"), F.col(text).alias("text"))
     rows = numbered.withColumn("changed", F.lit(False)).withColumn("row", key)
-    rows = written(without(rows, repeated_passages(of_rows(rows)), without_words), "passages-cut", "zstd").withColumn("row", key)
-    repeats = repeated_paragraphs(of_rows(rows), least_words=5).where("NOT kept").select("doc_id", "word", "words", "passage_words")
-    out = without(rows, repeats, without_paragraphs).where(f"NOT changed OR {text} RLIKE '[^ \\\\t\\\\r\\\\n]'")
+    with scratch(spark) as keep:
+        rows = keep(written(without(rows, repeated_passages(of_rows(rows)), without_words, lambda df: df), "passages-cut", "zstd"))
+    rows = rows.withColumn("row", key)
+    with scratch(spark) as keep:
+        repeats = repeated_paragraphs(of_rows(rows), least_words=5).where("NOT kept").select("doc_id", "word", "words", "passage_words")
+        out = without(rows, repeats, without_paragraphs, keep)
+    out = out.where(f"NOT changed OR {text} RLIKE '[^ \\\\t\\\\r\\\\n]'")
     if "n_chars" in at:
         out = out.withColumn(at["n_chars"], F.when(F.col("changed"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(at["n_chars"])))
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, chunks_of, held_out, large_batches, table, written
+from wayfold.llm.common import ChunkTable, chunks_of, held_out, large_batches, scratch, table, written
 from wayfold.llm.labelled import labelled_sample
 
 LETTERS = 64  # codes of letters; the last two are a unit's ends
@@ -335,7 +335,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Subs
     """The machine from at most `most` labelled documents: half of them toxic where there are as many."""
     toxic = F.col("toxic")
     clean, bad = (labelled_sample(docs, labels, F.when(toxic == label, toxic), most // 2) for label in (0, 1))
-    return fit_svm(bags_of(clean.union(bad)))
+    with scratch(docs.sparkSession):
+        return fit_svm(bags_of(clean.union(bad)))
 
 
 def score_toxicity(docs: DataFrame, svm: SubsequenceSvm, cut: float = 0.3, keep: list[str] | None = None, text: str = "text") -> DataFrame:
