@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,27 @@ def sql_rows(sql, docs):
     return [dict(zip(r.columns, row, strict=True)) for row in r.fetchall()]
 
 
+def without_runs(texts, run=50):
+    """The texts without their runs of 50 words that stand elsewhere, but for the first of each, run by run."""
+    words = {d: substring.words_of(t or "") for d, t in texts.items()}
+    where = {}
+    for d in sorted(words):
+        for k in range(len(words[d]) - run + 1):
+            where.setdefault(tuple(words[d][k : k + run]), []).append((d, k))
+    gone, stay = {}, {}
+    for places in where.values():
+        if len(places) > 1:
+            for n, (d, k) in enumerate(places):
+                (gone if n else stay).setdefault(d, set()).update(range(k, k + run))
+    out = dict(texts)
+    for d, own in gone.items():
+        left = sorted(own - stay.get(d, set()))
+        starts = [w for w in left if w - 1 not in own or w - 1 in stay.get(d, set())]
+        ends = [w for w in left if w + 1 not in own or w + 1 in stay.get(d, set())]
+        out[d] = substring.without_words(texts[d], [(a, b - a + 1) for a, b in zip(starts, ends, strict=True)])
+    return out
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage's rows against a brute-force version of it on the same input."""
     sf = "/root/testdata/sf0.001"
@@ -187,10 +209,14 @@ def test_pipeline_stage_by_stage(spark):
             bad = {r["doc_id"] for r in sql_rows(decontaminate.OP5_SQL, was)}
             want = {d: t for d, t in texts.items() if d not in bad}
         else:
-            gone = {(r["doc_id"], r["para"]) for r in sql_rows(substring.OP8_SQL, was) if not r["kept"]}
-            cut = {d for d, _ in gone}
-            want = {d: t if d not in cut else "\n".join(p for k, p in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in texts.items()}
-            want = {d: t for d, t in want.items() if d not in cut or t.strip(" ")}
+            first = without_runs(texts)
+            left = pd.DataFrame({"doc_id": list(first), "text": list(first.values())})
+            spans = {}
+            for r in sql_rows(substring.OP8_SQL.replace("size >= 30", "size >= 5"), left):
+                if not r["kept"]:
+                    spans.setdefault(r["doc_id"], []).append((r["word"], r["words"], r["passage_words"]))
+            want = {d: substring.without_paragraphs(t, spans[d]) if d in spans else t for d, t in first.items()}
+            want = {d: t for d, t in want.items() if t == texts[d] or t.strip(" \t\r\n")}
         now = after.toPandas()
         assert dict(zip(now.doc_id, now.text, strict=True)) == want and len(now) == len(want)
         before = after
