@@ -55,7 +55,7 @@ def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, where that is unset a temporary one, for a local master (tests) only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("spark.checkpoint.dir", folder)
