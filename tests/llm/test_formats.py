@@ -70,6 +70,16 @@ def test_encoder_agrees_on_odd_texts():
         assert np.frombuffer(b"".join(own.encode(chunks)), own.unit).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_merges_equal_the_library():
+    plain, own = Tokenizer.from_file(WORDS), tokens.Merges.of(tokens.tokenizer(WORDS))
+    rng = random.Random(8)
+    words = [c * n for c in "aeéßñ" for n in range(1, 40)] + ["".join(rng.choices("etaoinshréüñß", k=rng.randint(1, 30))) for _ in range(5000)]
+    which, sizes, ids = own.ids(words)
+    got = dict(zip(which.tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True))
+    assert [got[k].tolist() for k in range(len(words))] == [e.ids for e in plain.encode_batch(words, add_special_tokens=False)]
+    assert tokens.Merges.of(Tokenizer.from_file(BYTES)) is None  # no word ends: the library is used
+
+
 def test_packing(spark):
     plain = Tokenizer.from_file(WORDS)
     ids = [0, 1, 2, 3, 4, 5, 6, 7, 8, None]
