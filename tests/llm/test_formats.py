@@ -80,6 +80,13 @@ def test_merges_equal_the_library():
     assert tokens.Merges.of(Tokenizer.from_file(BYTES)) is None  # no word ends: the library is used
 
 
+def test_words_are_learnt_again_after_the_table_was_emptied(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 3)
+    own, plain = tokens.ChunkEncoder(WORDS), Tokenizer.from_file(WORDS)
+    for chunks in (["one", "two"], ["two", "three", "four"], ["one", "five", "two", "six", "seven"]):
+        assert [np.frombuffer(x, own.unit).tolist() for x in own.encode(chunks)] == [plain.encode(c, add_special_tokens=False).ids for c in chunks]
+
+
 def test_packing(spark):
     plain = Tokenizer.from_file(WORDS)
     ids = [0, 1, 2, 3, 4, 5, 6, 7, 8, None]

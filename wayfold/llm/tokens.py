@@ -182,8 +182,6 @@ class ChunkEncoder:
         return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > WORDS_KEPT:
-            self.words.clear()
         if not self.merges:
             self.words.update(zip(words, self._direct(words), strict=True))
             return
@@ -197,7 +195,12 @@ class ChunkEncoder:
 
     def encode(self, chunks: list[str]) -> list[bytes]:
         parts = [(c.lower(), "") if c.isascii() and c.isalpha() else (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(c)) else None for c in chunks]
-        self._learn(list({p[0] for p in parts if p}.difference(self.words)))
+        wanted = {p[0] for p in parts if p}
+        new = wanted.difference(self.words)
+        if len(self.words) + len(new) > WORDS_KEPT:
+            self.words.clear()
+            new = wanted  # those known before have gone too
+        self._learn(list(new))
         if marks := list({p[1] for p in parts if p}.difference(self.marks)):
             self.marks.update(zip(marks, self._direct(marks), strict=True))
         rest = iter(self._direct([c for c, p in zip(chunks, parts, strict=True) if not p]))
