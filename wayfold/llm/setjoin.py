@@ -126,9 +126,9 @@ def shingle_statistics(rows: DataFrame, size: int, percent: int) -> tuple[np.nda
 
     with scratch(rows.sparkSession):
         counted = written(rows.mapInArrow(summarise, "top boolean, e long, n long").groupBy("top", "e").agg(F.sum("n").alias("n")), "shingle-counts")
-        often = counted.where(F.col("top") & (F.col("n") >= FREQUENT_IN)).orderBy(F.desc("n"), "e").limit(MOST_FREQUENT).collect()
+        often = counted.where(F.col("top") & (F.col("n") >= FREQUENT_IN)).orderBy(F.desc("n"), "e").limit(MOST_FREQUENT).select("e").toArrow()
         sums = counted.where(~F.col("top") & (F.col("n") < FREQUENT_IN)).agg(F.sum(F.col("n") * F.col("n")).alias("square"), F.sum("n").alias("n")).first()
-    return np.array([r.e for r in often][::-1], np.int64).view(np.uint64), (sums.square / sums.n if sums.n else 1.0)
+    return np.ascontiguousarray(often.column("e").to_numpy()[::-1]).view(np.uint64), (sums.square / sums.n if sums.n else 1.0)
 
 
 def word_table() -> ChunkTable:

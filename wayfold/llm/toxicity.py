@@ -71,8 +71,9 @@ def fours(units: list[str]) -> Iterable[tuple[np.ndarray, np.ndarray, np.ndarray
         if length < 2:
             continue
         at, w = _stretches(length + 2)
-        for part in range(0, len(rows), 2048):
-            own = np.array(rows[part : part + 2048])
+        most = max(1, (1 << 20) // at.shape[1])  # long units have very many slots
+        for part in range(0, len(rows), most):
+            own = np.array(rows[part : part + most])
             flat = np.frombuffer("".join(units[r] for r in own).encode("utf-32-le"), np.uint32).reshape(-1, length) - np.uint32(97)
             c = np.empty((len(own), length + 2), np.uint32)
             c[:, 0], c[:, -1] = LETTERS - 2, LETTERS - 1
@@ -145,8 +146,8 @@ class Landmarks:
         for own, codes, w in fours(units):
             slot = index[codes]
             unit, k = np.nonzero(slot)
-            for part in range(0, len(unit), 1 << 15):  # few at a time, as each takes a row of kernel values
-                u, c = unit[part : part + (1 << 15)], k[part : part + (1 << 15)]
+            for part in range(0, len(unit), 1 << 13):  # few at a time, as each takes a row of kernel values
+                u, c = unit[part : part + (1 << 13)], k[part : part + (1 << 13)]
                 starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
                 out[own[u[starts]]] += np.add.reduceat(self.at[slot[u, c]] * w[c][:, None], starts, 0)
         return out
@@ -169,6 +170,8 @@ def _hinge(x: np.ndarray, y: float, cost: np.ndarray, w: np.ndarray) -> tuple[np
     return own.T @ (own * cost[on, None]), own.T @ (cost[on] * y * slack[on])
 
 
+#: Taught units whose coordinates the driver works on at a time.
+BLOCK = 2_048
 #: Letters that are put into each place inside a unit that is taught; what such units weigh beside the unit.
 INSERTED, INSERTED_WEIGHT = 3, 0.5
 
@@ -287,15 +290,20 @@ def fit_svm(bags: DataFrame, cut: float = 0.3) -> SubsequenceSvm:
     for _ in range(ROUNDS):
         names = Counter(picked(w))
         each = [(u, n, v) for u, n in names.items() for v in [[u], with_letters(u)]]
-        x = np.hstack([z := marks.coordinates([v for *_, vs in each for v in vs]), np.ones((len(z), 1), np.float32)])
+        taught = [v for *_, vs in each for v in vs]
         # a unit counts once for each bag that it was picked in, and the ones with a letter more share its weight
         cost = np.array([TOXIC_WEIGHT / names.total() * n * (1 if vs[0] == u else INSERTED_WEIGHT / len(vs)) for u, n, vs in each for _ in vs])
-        w = np.zeros(x.shape[1]) if w is None else w
+        # in blocks, so that the driver holds few of their numbers in full length at a time
+        blocks = [(np.hstack([z := marks.coordinates(taught[k : k + BLOCK]).astype("<f4"), np.ones((len(z), 1), np.float32)]), cost[k : k + BLOCK]) for k in range(0, len(taught), BLOCK)]
+        w = np.zeros(blocks[0][0].shape[1]) if w is None else w
         keep = np.full(len(w), RIDGE)
         keep[-1] = 1e-6
         for _ in range(STEPS):
-            (h, g), (h2, g2) = sums(w), _hinge(x, 1.0, cost, w)
-            step = np.linalg.solve(h + h2 + np.diag(keep), g + g2 - keep * w)
+            h, g = sums(w)
+            for x, c in blocks:
+                h2, g2 = _hinge(x, 1.0, c, w)
+                h, g = h + h2, g + g2
+            step = np.linalg.solve(h + np.diag(keep), g - keep * w)
             w = w + step
             if np.abs(step).max() < 1e-3:
                 break
