@@ -140,6 +140,39 @@ def similar_at(a, b, size, percent):
     return 100 * len(x & y) >= percent * len(x | y)
 
 
+def test_large_sets_are_made_only_for_pairs_that_can_be_alike(spark):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (3000, 3100, 3200, 3300, 6000, 6300, 400, 20000)]
+    sets.append(np.unique(np.r_[sets[0][:-60], sets[1][:60]]))  # linked with the first
+    sets.append(np.unique(np.r_[sets[4][:-900], sets[5][:900]]))  # not linked, but of one size
+    table = spark.createDataFrame([(k, len(s), similar.parity(s).tobytes(), similar.wide_parity(s).tobytes()) for k, s in enumerate(sets)], "h long, n int, p binary, w binary")
+    made = []
+
+    def sets_of(wanted):
+        made.extend(r.h for r in wanted.distinct().collect())
+        return spark.createDataFrame([(h, sets[h].tobytes()) for h in made], "h long, s binary").join(wanted.distinct(), "h")
+
+    for percent in (90, 80):
+        made.clear()
+        got = similar.components(spark.createDataFrame([(7, k) for k in range(len(sets))], "sig long, h long"), sets_of, percent, table)
+        assert {tuple(r) for r in got.collect()} == {(0, 0), (8, 0)}
+        assert set(made) == {0, 8}
+        listed = table.selectExpr("7L AS sig", "h", "h AS comp", "n", "p", "w")
+        assert {tuple(r) for r in similar._block_pairs(listed, percent).collect()} == {(0, 8)}
+
+
+def test_wide_sketches_fold_and_lose_no_link():
+    rng = np.random.default_rng(6)
+    for n in (900, 3000, 9000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        wide = similar.wide_parity(a)
+        assert (similar.folded(wide, similar.PARITY_WORDS) == similar.parity(a)).all()
+        b = np.unique(np.r_[a[n // 40 :], rng.integers(0, 2**63, n // 40).astype(np.uint64)])
+        other = similar.wide_parity(b)
+        words = min(len(wide), len(other))
+        assert np.bitwise_count(similar.folded(wide, words) ^ similar.folded(other, words)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 160)]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import ChunkTable, matching, row_key, scratch, sendable, table, text_of, written
-from wayfold.llm.similar import components, mix, nodes_of, parity, set_hashes, shingle_sets
+from wayfold.llm.similar import components, mix, nodes_of, parity, set_hashes, shingle_sets, wide_parity
 
 #: What a posting costs beside a subset's row where nothing was measured.
 SCAN = 6.0
@@ -167,10 +167,10 @@ def ngram_join(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
             ends = np.r_[0, np.cumsum([len(x) for x in sigs])].astype(np.int32)
             flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64), pa.int64())
             longs = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [h for h, _ in hashes], [h for _, h in hashes])]
-            p = pa.array([parity(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.ListArray.from_arrays(pa.array(ends), flat), p], ["doc_id", "n_shingles", "h", "h2", "sigs", "p"])
+            p, w = (pa.array([f(s).tobytes() for s in sets], pa.binary()) for f in (parity, wide_parity))
+            yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.ListArray.from_arrays(pa.array(ends), flat), p, w], ["doc_id", "n_shingles", "h", "h2", "sigs", "p", "w"])
 
-    made = written(rows.mapInArrow(shingle, f"doc_id {kind}, n_shingles long, h long, h2 long, sigs array<long>, p binary"), "shingles")
+    made = written(rows.mapInArrow(shingle, f"doc_id {kind}, n_shingles long, h long, h2 long, sigs array<long>, p binary, w binary"), "shingles")
     some = made.where("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = nodes_of(some, "doc_id")
 
@@ -188,7 +188,7 @@ def ngram_join(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
 
         return matching(rows, ids, "doc_id").select("h", "text").mapInArrow(again, "wanted long, h long, s binary").where("wanted = h").select("h", "s").dropDuplicates(["h"])
 
-    comps = components(some.select(F.explode("sigs").alias("sig"), "h"), sets_of, percent, some.select("h", F.col("n_shingles").cast("int").alias("n"), "p"))
+    comps = components(some.select(F.explode("sigs").alias("sig"), "h"), sets_of, percent, some.select("h", F.col("n_shingles").cast("int").alias("n"), "p", "w"))
     named = nodes.select("h", F.col("first.doc_id").alias("least")).join(comps, "h", "left").withColumn("comp", F.coalesce("comp", "h"))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "comp").select("h", "component_id")

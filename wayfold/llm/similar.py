@@ -77,12 +77,30 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 PARITY_WORDS = 8
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the elements hashed to it. Two sets' sketches differ in no more bits than the sets in elements."""
-    bits = np.bincount((mix(s) % np.uint64(PARITY_WORDS * 64)).astype(np.int64), minlength=PARITY_WORDS * 64) & 1
+def parity(s: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """64 * words bits, each the parity of the elements hashed to it. Two sets' sketches differ in no more bits than the sets in elements."""
+    bits = np.bincount((mix(s) % np.uint64(words * 64)).astype(np.int64), minlength=words * 64) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
+def wide_parity(s: np.ndarray) -> np.ndarray:
+    """A sketch as wide as a set needs, a power of two of words; empty where PARITY_WORDS do.
+
+    Sketches of w bits of unlike sets differ in w / 2 at most, so those of large sets rule nothing out unless they are wide.
+    """
+    words = PARITY_WORDS
+    while 4 * 64 * words < 3 * len(s):
+        words *= 2
+    return parity(s, words) if words > PARITY_WORDS else s[:0]
+
+
+def folded(p: np.ndarray, words: int) -> np.ndarray:
+    """The narrower sketch of the same set."""
+    while len(p) > words:
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return p
+
+
 def one_hash_each(df: DataFrame, differ: str) -> None:
     """Hashes of different sets that agree in 64 bits are found by a second hash."""
     if df.where(differ).limit(1).count():
@@ -143,8 +161,11 @@ def _sketched(batches):
 
 def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches (h, n, p) don't rule out: none that is alike is lost, and sets are joined to few."""
-    left, right = sketches.select(F.col("h").alias("a"), F.col("n").alias("m"), F.col("p").alias("x")), sketches.select(F.col("h").alias("b"), "n", F.col("p").alias("y"))
-    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("m", "n").cast("long") >= percent * F.greatest("m", "n").cast("long")).select("a", "b", "m", "n", "x", "y")
+    m, n = sketches.select(F.col("h").alias("a"), F.col("n").alias("m")), sketches.select(F.col("h").alias("b"), "n")
+    x, y = sketches.select(F.col("h").alias("a"), F.col("p").alias("x")), sketches.select(F.col("h").alias("b"), F.col("p").alias("y"))
+    # sizes rule out most pairs, so sketches travel with few
+    sized = pairs.join(m, "a").join(n, "b").where(100 * F.least("m", "n").cast("long") >= percent * F.greatest("m", "n").cast("long"))
+    sized = sized.join(y, "b").join(x, "a").select("a", "b", "m", "n", "x", "y")
 
     def keep(batches):
         for b in batches:
@@ -156,6 +177,26 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(keep, "a long, b long")
 
 
+def closer(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that wide sketches (h, n, w) don't rule out either; a pair of which one set has none stays."""
+    left, right = wide.select(F.col("h").alias("a"), F.col("n").alias("m"), F.col("w").alias("x")), wide.select(F.col("h").alias("b"), "n", F.col("w").alias("y"))
+    both = pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", "m", "n", "x", "y")
+
+    def near(m, n, x, y) -> bool:
+        if x is None or y is None:
+            return True
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        words = min(len(x), len(y))
+        return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) <= (m + n) * (100 - percent) // (100 + percent)
+
+    def keep(batches):
+        for b in batches:
+            good = [near(*r) for r in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(keep, "a long, b long")
+
+
 def shared_lists(signatures: DataFrame) -> DataFrame:
     """(sig, h, hub) of the lists with two different members at least, each member once; the hub is the least.
 
@@ -185,20 +226,23 @@ BLOCK = 512
 
 
 def _block_pairs(left: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) within lists (sig, h, comp, n, p) that differ in component and whose sketches allow a link.
+    """Pairs (a, b) within lists (sig, h, comp, n, p, perhaps w) that differ in component and whose sketches allow a link.
 
     A list's members are dealt into blocks of about BLOCK by hash, and a task takes a pair of blocks; a member goes to as many
     tasks as its list has blocks.
     """
+    if "w" not in left.columns:
+        left = left.withColumn("w", F.lit(None).cast("binary"))
+    left = left.withColumn("p", F.when(F.length("w") > 0, None).otherwise(F.col("p")))  # a wide one folds to it
     sizes = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = left.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "comp", "n", "p")
+    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "comp", "n", "p", "w")
 
     def pairs(batches):
         key, rows = None, []
         for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+            for r in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
                 if r[:3] != key:
                     yield from found(rows)
                     key, rows = r[:3], []
@@ -209,14 +253,25 @@ def _block_pairs(left: DataFrame, percent: int) -> DataFrame:
         if len(rows) < 2:
             return
         own, h, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        p = np.stack([np.frombuffer(r[7], np.uint64) for r in rows])
+        wide = [np.frombuffer(r[8] or b"", np.uint64) for r in rows]
+        p = np.stack([folded(w, PARITY_WORDS) if len(w) else np.frombuffer(r[7], np.uint64) for w, r in zip(wide, rows, strict=True)])
+        words = np.array([len(w) for w in wide])
+        levels = {}  # words: the sketches of rows that have as many or more, and where a row's is
+        for k in np.unique(words[words > 0]).tolist():
+            has = words >= k
+            levels[k] = np.stack([folded(wide[i], k) for i in np.flatnonzero(has)]), np.cumsum(has) - 1
         crossed = rows[0][1] != rows[0][2]
         for a in range(len(rows) - 1):
             far = (n[a] + n[a + 1 :]) * (100 - percent) // (100 + percent)
             near = (np.bitwise_count(p[a] ^ p[a + 1 :]).sum(1) <= far) & (comp[a] != comp[a + 1 :])
+            near &= 100 * np.minimum(n[a], n[a + 1 :]) >= percent * np.maximum(n[a], n[a + 1 :])
             if crossed:
                 near &= own[a] != own[a + 1 :]
             at = a + 1 + np.flatnonzero(near)
+            for k, (sketch, row) in levels.items() if len(at) else ():
+                those = at[np.minimum(words[a], words[at]) == k]
+                far_off = np.bitwise_count(sketch[row[a]] ^ sketch[row[those]]).sum(1) > (n[a] + n[those]) * (100 - percent) // (100 + percent) if len(those) else np.zeros(0, bool)
+                at = np.setdiff1d(at, those[far_off], assume_unique=True)
             if len(at):
                 lo, hi = np.minimum(h[a], h[at]), np.maximum(h[a], h[at])
                 yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
@@ -228,8 +283,8 @@ def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     """(h, comp) of the nodes that are linked to others.
 
     `signatures` has (sig, h); `sets_of` gives (h, s: the sorted set, 64-bit values as bytes) for a table of nodes (h). Large
-    sets should come with `sketches` (h, n: size, p: parity sketch), a table: then sets are made only for pairs that these don't
-    rule out. Small ones are made once for all that share a signature.
+    sets should come with `sketches` (h, n: size, p: parity sketch, w: wide one), a table: then sets are made only for pairs that
+    these don't rule out. Small ones are made once for all that share a signature.
     """
     with scratch(signatures.sparkSession) as keep:
         return keep(_components(signatures, sets_of, percent, sketches, rounds))
@@ -239,16 +294,20 @@ def _components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     with large_batches(signatures.sparkSession):
         members = written(shared_lists(signatures), "lists")  # without the hubs themselves
     nodes = members.select("h").union(members.select("hub")).distinct()
-    sets = None
+    sets = wide = None
     if sketches is None:
         sets = written(sets_of(nodes), "sets")
         sketches = sets.mapInArrow(_sketched, "h long, n int, p binary")
     else:
         sketches = sketches.join(nodes, "h", "left_semi").dropDuplicates(["h"])
     sketches = written(sketches, "sketches")
+    if sets is None:
+        wide = sketches.where("length(w) > 0").select("h", "n", "w")
 
     def links(pairs: DataFrame) -> DataFrame:
         left = written(possible(pairs, sketches, percent), "pairs")
+        if wide is not None:
+            left = written(closer(left, wide, percent), "pairs")
         ends = left.select(F.col("a").alias("h")).union(left.select("b")).distinct()
         own = written(sets_of(ends), "sets") if sets is None else sets.join(sendable(written(ends, "ends")), "h", "left_semi")
         return written(verified(left, own, percent), "links")
