@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pandas as pd
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -68,6 +69,22 @@ def test_shortest_paths_both_ways(spark, monkeypatch):
     assert all(r["count"] <= 3 for r in near)
 
 
+def test_graph_is_flat_where_it_is_sent(spark):
+    """No object an edge, in the driver or in what is sent; ids need not be small, and a source without edges finds itself."""
+    edges = [(10**12 + u, 10**12 + v, w) for u, v, w in graph()]
+    e = spark.createDataFrame(edges, "u long, v long, length double")
+    sent = network.sent_graph(e).value
+    assert all(isinstance(x, np.ndarray) for x in sent.__getstate__())
+    assert sum(x.nbytes for x in sent.__getstate__()) <= 12 * len(edges) + 16 * len(sent.nodes) + 8
+    s = spark.createDataFrame([(10**12,), (10**12 + 7,), (3,)], "src long")
+    want = {(k, v): d for k in (10**12, 10**12 + 7) for v, d in dijkstra(edges, k, 700).items()} | {(3, 3): 0.0}
+    assert {(r.src, r.node): r.dist for r in network.shortest(s, e, 700).collect()} == want
+    pairs = spark.createDataFrame([(3, 3), (10**12, 10**12), (3, 10**12), (10**12, 3)], "src long, node long")
+    assert {tuple(r) for r in network.paths_between(pairs, e).collect()} == {(3, 3, 0.0), (10**12, 10**12, 0.0)}
+    with pytest.raises(ValueError):
+        network.shortest(s, e.union(e.limit(1).selectExpr("u", "v", "-1.0D AS length")), 700)
+
+
 def trips(spark, seed=6, n=24):
     """Nodes on a line, streets both ways but for a part that none leads to, and trips between places at the nodes."""
     rng = random.Random(seed)
