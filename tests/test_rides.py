@@ -119,6 +119,27 @@ def test_walking_has_no_cutoff(spark, monkeypatch):
         assert {x.user_id: x.dist_m for x in network.walking_distances(r, n, e).collect()} == pytest.approx(want)
 
 
+def test_silhouettes_by_blocks(spark, monkeypatch):
+    """Against plain loops, with blocks smaller than clusters, equal places, a cluster of one and a side with one cluster."""
+    monkeypatch.setattr(clusters, "BLOCK", 5)
+    rng = random.Random(4)
+    rows = [(u, u % 3 if u else 9, "orig", 35.9 + rng.random() / 10, 50.7 + rng.random() / 10) for u in range(30)]
+    rows += [(u, 1, "dest", 35.9, 50.7 + u / 100) for u in range(7)] + [(40, 1, "orig", *rows[4][3:]), (41, 2, "orig", -35.0, -129.0)]
+    m = spark.createDataFrame(rows, "user_id long, label int, side string, lat double, lng double")
+    orig = [r for r in rows if r[2] == "orig"]
+    want = {(u, t): [great_circle((la, ln), x[3:]) for x in orig if x[1] == t and x[0] != u] for u, _, _, la, ln in orig for t in (0, 1, 2, 9)}
+    sums = clusters.far_sums(m).where("side = 'orig'").collect()
+    assert {(r.user_id, r.to): r.n for r in sums} == {k: len(v) for k, v in want.items() if v}
+    assert {(r.user_id, r.to): r.s for r in sums} == pytest.approx({k: sum(v) for k, v in want.items() if v}, rel=1e-9)
+    each = []
+    for u, label, *_ in orig:
+        b = min(sum(v) / len(v) for (x, t), v in want.items() if x == u and t != label and v)
+        own = want[u, label]
+        each.append((b - sum(own) / len(own)) / max(b, sum(own) / len(own)) if own else 0.0)
+    got = {r.side: r.silhouette for r in clusters.silhouettes(m).collect()}
+    assert got == pytest.approx({"orig": sum(each) / len(each), "dest": -1.0})
+
+
 def test_clusters_over_walking_distances(spark):
     """Sums, medoids and silhouettes against plain loops over walking distances."""
     nodes, edges, rows, n, e, r = trips(spark, 8, 12)
