@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.tiles import Network
+
 PRIME, RANGE, FUNCTIONS, BANDS = 34_359_738_421, 100_000_000, 30, 15
 
 
@@ -21,6 +24,12 @@ def hash_of(x: Column, a: int, b: int) -> Column:
     return (x.cast("long") * a + b) % PRIME % RANGE
 
 
+def hashes(nodes: np.ndarray) -> np.ndarray:
+    """`hash_of` in arrays: a row a node, a column a function."""
+    a, b = (np.array(x, np.int64) for x in zip(*coefficients(), strict=True))
+    return np.fmod(np.fmod(nodes.astype(np.int64)[:, None] * a + b, PRIME), RANGE)
+
+
 def signatures(near: DataFrame, key: str = "src") -> DataFrame:
     """(key, signature): the least value of each hash function over the nodes of a key; one aggregation, combined map-side."""
     least = [F.min(hash_of(F.col("node"), a, b)) for a, b in coefficients()]
@@ -56,6 +65,17 @@ def similarity(pairs: DataFrame, snapped: DataFrame, knn: DataFrame) -> DataFram
     return out.select(*pairs.columns, total.alias("total"), F.when(total.isNull(), -1.0).when(total == 0, 1.0).otherwise(F.exp(-total / 1000)).alias("sim"))
 
 
+def network_similarity(pairs: DataFrame, snapped: DataFrame, network: Network) -> DataFrame:
+    """`similarity` with distances searched on the network for the pairs' nodes only."""
+    out = pairs
+    for side in ("orig", "dest"):
+        for who, as_ in (("cand_id", "src"), ("user_id", "other")):
+            out = out.join(snapped.where(F.col("side") == side).select(F.col("user_id").alias(who), F.col("node").alias(as_)), who)
+        out = network.between(out).withColumnRenamed("dist", f"d_{side}")
+    total = F.col("d_orig") + F.col("d_dest")
+    return out.select(*pairs.columns, total.alias("total"), F.when(total.isNull(), -1.0).when(total == 0, 1.0).otherwise(F.exp(-total / 1000)).alias("sim"))
+
+
 def top_two(similar: DataFrame, threshold: float = 0.5) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy(F.desc("sim"), "cand_id")
     return similar.where(F.col("sim") >= threshold).withColumn("rank", F.row_number().over(order)).where("rank <= 2")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import point_in_circle
-from wayfold.operators import bucketing, clusters, commit, cosine, intercity, lsh
+from wayfold.operators import bucketing, clusters, commit, intercity, lsh
 from wayfold.operators import network as net
 from wayfold.plans import network as plans
 from wayfold.plans.base import query
@@ -31,8 +31,8 @@ def mpb_remove(spark, d):
 
 
 def _similar(spark, d):
-    k200, at, cand = plans._lsh_candidates(spark, d)
-    return net.checkpointed(lsh.similarity(cand.select("user_id", "cand_id"), at, k200).where("sim >= 0.5").select("user_id", "cand_id", "sim"))
+    network, at, cand = plans._lsh_candidates(spark, d)
+    return net.checkpointed(lsh.network_similarity(cand.select("user_id", "cand_id"), at, network).where("sim >= 0.5").select("user_id", "cand_id", "sim"))
 
 
 @query()
@@ -47,8 +47,7 @@ def lsh_remove(spark, d):
 
 @query()
 def mips_groups(spark, d):
-    pairs = cosine.sparse_pairs(net.checkpointed(plans._features(spark, d)))
-    return commit.pair_groups(net.checkpointed(pairs.withColumnRenamed("cos", "sim")), "cosine")
+    return commit.pair_groups(net.checkpointed(plans._cosines(spark, d).withColumnRenamed("cos", "sim")), "cosine")
 
 
 @query()
