@@ -84,6 +84,53 @@ def test_block_pairs_lose_no_link(spark, monkeypatch):
     assert want and want <= got
 
 
+def near_ones(rng, many, size=300):
+    """Sets near one base and just about as near to each other as links need."""
+    base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+    return [np.unique(np.r_[base[rng.random(size) > rng.choice([0.01, 0.025, 0.028])], rng.integers(0, 1 << 62, 8).astype(np.uint64)]) for _ in range(many)]
+
+
+def rooted(many, edges):
+    root = [*range(many)]
+    for a, b in edges:
+        root = [root[a] if r == root[b] else r for r in root]
+    return {frozenset(k for k in range(many) if root[k] == r) for r in root}
+
+
+def test_blocks_give_no_more_rows_than_members(spark, monkeypatch):
+    """A group of near ones has pairs by the square; a block gives a forest over them, and the exact sets meet once."""
+    sets = near_ones(np.random.default_rng(8), 60)
+    listed = [(7, k, k, len(s), similar.parity(s).tobytes()) for k, s in enumerate(sets)]
+    left = spark.createDataFrame(listed, "sig long, h long, comp long, n int, p binary")
+    every = {(r.a, r.b) for r in similar._block_pairs(left, 90).collect()}
+    forest = [(r.a, r.b) for r in similar._block_pairs(left, 90, forest=True).collect()]
+    assert len(every) > 5 * 60 and len(forest) < 60 and set(forest) <= every and rooted(60, forest) == rooted(60, every)
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if similar.alike(sets[a], sets[b], 90)}
+    assert 20 < len(want) < len(every)
+    for size in (512, 7):
+        monkeypatch.setattr(similar, "BLOCK", size)
+        for comps in ([*range(60)], [k // 3 for k in range(60)]):
+            rows = spark.createDataFrame([(5, k, comps[k], s.tobytes()) for k, s in enumerate(sets)], "cluster long, h long, comp long, s binary")
+            got = [(r.a, r.b) for r in similar.block_links(rows, 90).collect()]
+            known = [(a, b) for a, b in itertools.combinations(range(60), 2) if comps[a] == comps[b]]
+            assert set(got) <= want and rooted(60, [*known, *got]) == rooted(60, [*known, *want])
+            assert size == 7 or len(got) < 60
+
+
+def test_groups_of_near_ones_are_exact(spark):
+    """Sets of several sizes; what hubs leave open is decided by clusters."""
+    sets = [s for k, size in enumerate((150, 300, 2500)) for s in near_ones(np.random.default_rng(20 + k), 25, size)]
+    table = spark.createDataFrame([(k, len(s), similar.parity(s).tobytes(), similar.wide_parity(s).tobytes()) for k, s in enumerate(sets)], "h long, n int, p binary, w binary")
+    stored = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "h long, s binary")
+    links = [(a, b) for a, b in itertools.combinations(range(75), 2) if similar.alike(sets[a], sets[b], 90)]
+    want = {g for g in rooted(75, links) if len(g) > 1}
+    for sketches in (table, None):
+        got = {}
+        for r in similar.components(spark.createDataFrame([(7, k) for k in range(75)], "sig long, h long"), lambda x: stored.join(x.distinct(), "h"), 90, sketches).collect():
+            got.setdefault(r.comp, set()).add(r.h)
+        assert {frozenset(g) for g in got.values()} == want
+
+
 def test_signatures_are_shared_by_linked_sets():
     rng = np.random.default_rng(3)
     scheme = setjoin.Scheme(90)

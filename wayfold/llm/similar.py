@@ -4,7 +4,8 @@ Nodes are 64-bit hashes of distinct sets; a signature is a 64-bit value such tha
 share a signature make up a list. Lists are not expanded to pairs: every member is first compared with one hub of its list,
 round after round with other hubs, and pairs that are already in one component are never compared. What remains are lists
 whose members, hubs aside, still lie in several components; those are compared in blocks, through parity sketches that
-can't miss a link, and by the exact sets.
+can't miss a link. A block gives a forest over the pairs that these leave, so no more rows than members; the trees over all
+lists are clusters that no link leaves, and within these the exact sets meet, each in one cluster only.
 """
 
 from __future__ import annotations
@@ -223,35 +224,62 @@ def shared_lists(signatures: DataFrame) -> DataFrame:
 
 #: Members of a list that are compared with each other at a time.
 BLOCK = 512
+#: Bytes of sets that a block of a cluster has, about.
+BLOCK_BYTES = 8 << 20
 
 
-def _block_pairs(left: DataFrame, percent: int) -> DataFrame:
+class Forest:
+    """Trees over `labels`, one a number: rows with one label are in one tree."""
+
+    def __init__(self, labels: np.ndarray):
+        self.of = np.unique(labels, return_inverse=True)[1] if len(labels) else labels
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were in different trees, which are one then."""
+        if self.of[a] == self.of[b]:
+            return False
+        self.of[self.of == self.of[b]] = self.of[a]
+        return True
+
+
+def _in_blocks(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """`rows` with (own, i, j): the members of a `key` are dealt into its `blocks` (key, blocks) by hash of h, and each goes to every pair of blocks (i, j) that has its own."""
+    dealt = rows.join(blocks, key).withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+
+def _by_pair_of_blocks(batches, columns: int) -> Iterator[list[tuple]]:
+    """The rows of each (key, i, j), the first three of so many columns; batches come in their order."""
+    key, rows = None, []
+    for b in batches:
+        for r in zip(*(b.column(k).to_pylist() for k in range(columns)), strict=True):
+            if r[:3] != key:
+                if len(rows) > 1:
+                    yield rows
+                key, rows = r[:3], []
+            rows.append(r)
+    if len(rows) > 1:
+        yield rows
+
+
+def _block_pairs(left: DataFrame, percent: int, forest: bool = False) -> DataFrame:
     """Pairs (a, b) within lists (sig, h, comp, n, p, perhaps w) that differ in component and whose sketches allow a link.
 
     A list's members are dealt into blocks of about BLOCK by hash, and a task takes a pair of blocks; a member goes to as many
-    tasks as its list has blocks.
+    tasks as its list has blocks. With `forest` a task gives only so many of its pairs that they connect what all of them do.
     """
     if "w" not in left.columns:
         left = left.withColumn("w", F.lit(None).cast("binary"))
     left = left.withColumn("p", F.when(F.length("w") > 0, None).otherwise(F.col("p")))  # a wide one folds to it
     sizes = left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = left.join(sizes, "sig").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "comp", "n", "p", "w")
+    dealt = _in_blocks(left, "sig", sizes).select("sig", "i", "j", "own", "h", "comp", "n", "p", "w")
 
     def pairs(batches):
-        key, rows = None, []
-        for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
-                if r[:3] != key:
-                    yield from found(rows)
-                    key, rows = r[:3], []
-                rows.append(r)
-        yield from found(rows)
+        for rows in _by_pair_of_blocks(batches, 9):
+            yield from found(rows)
 
     def found(rows):
-        if len(rows) < 2:
-            return
         own, h, comp, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
         wide = [np.frombuffer(r[8] or b"", np.uint64) for r in rows]
         p = np.stack([folded(w, PARITY_WORDS) if len(w) else np.frombuffer(r[7], np.uint64) for w, r in zip(wide, rows, strict=True)])
@@ -261,17 +289,22 @@ def _block_pairs(left: DataFrame, percent: int) -> DataFrame:
             has = words >= k
             levels[k] = np.stack([folded(wide[i], k) for i in np.flatnonzero(has)]), np.cumsum(has) - 1
         crossed = rows[0][1] != rows[0][2]
+        trees = Forest(np.arange(len(rows))) if forest else None
         for a in range(len(rows) - 1):
             far = (n[a] + n[a + 1 :]) * (100 - percent) // (100 + percent)
             near = (np.bitwise_count(p[a] ^ p[a + 1 :]).sum(1) <= far) & (comp[a] != comp[a + 1 :])
             near &= 100 * np.minimum(n[a], n[a + 1 :]) >= percent * np.maximum(n[a], n[a + 1 :])
             if crossed:
                 near &= own[a] != own[a + 1 :]
+            if trees:
+                near &= trees.of[a] != trees.of[a + 1 :]
             at = a + 1 + np.flatnonzero(near)
             for k, (sketch, row) in levels.items() if len(at) else ():
                 those = at[np.minimum(words[a], words[at]) == k]
                 far_off = np.bitwise_count(sketch[row[a]] ^ sketch[row[those]]).sum(1) > (n[a] + n[those]) * (100 - percent) // (100 + percent) if len(those) else np.zeros(0, bool)
                 at = np.setdiff1d(at, those[far_off], assume_unique=True)
+            if trees:
+                at = np.array([b for b in at.tolist() if trees.join(a, b)], np.int64)
             if len(at):
                 lo, hi = np.minimum(h[a], h[at]), np.maximum(h[a], h[at])
                 yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
@@ -279,6 +312,54 @@ def _block_pairs(left: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(pairs, "a long, b long").distinct()
 
 
+def local_levels(sets: list[np.ndarray]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """(words, levels) of sets whose sketches are 4 to 8 bits wide an element: the words of each, and by number of words the sketches of those that have as many or more, and where a set's is."""
+    words = np.array([max(PARITY_WORDS, 1 << max(0, 4 * len(s) - 1).bit_length() >> 6) for s in sets])
+    own, levels = [parity(s, int(k)) for s, k in zip(sets, words, strict=True)], {}
+    for k in np.unique(words).tolist():
+        has = words >= k
+        levels[k] = np.stack([folded(own[i], k) for i in np.flatnonzero(has)]), np.cumsum(has) - 1
+    return words, levels
+
+
+def block_links(clusters: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within clusters (cluster, h, comp, s), so many that they connect what all links of a cluster do with the components there.
+
+    Members meet in blocks of about BLOCK sets or BLOCK_BYTES bytes. A pair of different components is compared by size, by a
+    sketch of 4 bits an element or more, which is made from the sets on the spot, and by the sets.
+    """
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("s")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = _in_blocks(clusters, "cluster", blocks).select("cluster", "i", "j", "own", "h", "comp", "s")
+
+    def links(batches):
+        for rows in _by_pair_of_blocks(batches, 7):
+            yield from found(sorted(rows, key=lambda r: len(r[6])))
+
+    def found(rows):
+        own, h, comp = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        n = np.array([len(s) for s in sets])
+        words, levels = local_levels(sets)
+        ends = np.searchsorted(n, 100 * n // percent, "right")
+        crossed, trees, out = rows[0][1] != rows[0][2], Forest(comp), []
+        for a, end in enumerate(ends.tolist()):
+            at = a + 1 + np.flatnonzero(trees.of[a + 1 : end] != trees.of[a])
+            if crossed:
+                at = at[own[at] != own[a]]
+            if not len(at):
+                continue
+            sketch, row = levels[int(words[a])]
+            at = at[np.bitwise_count(sketch[row[a]] ^ sketch[row[at]]).sum(1) <= (n[a] + n[at]) * (100 - percent) // (100 + percent)]
+            for b in at.tolist():
+                if trees.of[a] != trees.of[b] and alike(sets[a], sets[b], percent):
+                    trees.join(a, b)
+                    out.append(sorted((h[a], h[b])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(links, "a long, b long")
+
+
 def components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, sketches: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """(h, comp) of the nodes that are linked to others.
 
@@ -304,13 +385,15 @@ def _components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
     if sets is None:
         wide = sketches.where("length(w) > 0").select("h", "n", "w")
 
+    def sets_at(ends: DataFrame) -> DataFrame:
+        return written(sets_of(ends), "sets") if sets is None else sets.join(sendable(written(ends, "ends")), "h", "left_semi")
+
     def links(pairs: DataFrame) -> DataFrame:
         left = written(possible(pairs, sketches, percent), "pairs")
         if wide is not None:
             left = written(closer(left, wide, percent), "pairs")
         ends = left.select(F.col("a").alias("h")).union(left.select("b")).distinct()
-        own = written(sets_of(ends), "sets") if sets is None else sets.join(sendable(written(ends, "ends")), "h", "left_semi")
-        return written(verified(left, own, percent), "links")
+        return written(verified(left, sets_at(ends), percent), "links")
 
     edges = links(members.select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct())
     comps = written(connected(edges), "comps")
@@ -334,5 +417,10 @@ def _components(signatures: DataFrame, sets_of: Callable[[DataFrame], DataFrame]
             comps = written(connected(edges), "comps")
     if not left.limit(1).count():
         return comps
-    new = links(_block_pairs(left.select("sig", "h", "comp").join(sketches, "h"), percent))
+    trees = written(_block_pairs(left.select("sig", "h", "comp").join(sketches, "h"), percent, forest=True), "trees")
+    if not trees.limit(1).count():
+        return comps
+    clusters = written(connected(trees).withColumnRenamed("comp", "cluster"), "clusters")
+    named = clusters.join(comps, "h", "left").select("h", "cluster", F.coalesce("comp", "h").alias("comp"))
+    new = written(block_links(named.join(sets_at(clusters.select("h")), "h"), percent), "links")
     return written(connected(edges.union(new)), "comps") if new.limit(1).count() else comps
