@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wayfold.llm import chat, media, packing, tokens, webp
+from wayfold.llm import chat, common, media, packing, tokens, webp
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -168,3 +169,27 @@ def test_long_texts_take_several_frames(spark, monkeypatch):
     assert media._decoded([frames[0], other])[3] == "frames differ in width"
     with pytest.raises(webp.WebpError):
         webp.encode_bytes(data[:100], 64)
+
+
+def test_words_and_marks_are_told_apart_as_before():
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?%&$#*;:]*)")
+    rng = random.Random(3)
+    signs = "abZéßÿÀ×÷.,!?%&$#*;:'-_09ªµµĀж中\u0301\u200b\x0b\x1f"
+    for c in ["", "a", ".", "Word", "Éa!?", "a.b", "don't", *("".join(rng.choices(signs, k=rng.randint(0, 5))) for _ in range(20_000))]:
+        m = plain.fullmatch(c)
+        assert tokens.word_and_marks(c) == ((m[1].lower(), m[2]) if m else None), c
+    for text in ["", " ", "\n", "a\r\n\tb  c\x0bd\u2028e", "x\n"]:
+        assert common.chunks_of(text) == re.sub(r"[\n\r\t]", " ", text).split(" ")
+
+
+def test_a_batch_looks_up_its_own_chunks_only():
+    class Table(common.ChunkTable):
+        def __iter__(self):
+            raise AssertionError("the whole table was read")
+
+    table = Table(lambda new: map(len, new), {"": 0}, entries=5)
+    table.learn([["a", "bb"], ["bb", ""]])
+    table.learn([["ccc", "a"]])
+    assert table["a"] == 1 and table["bb"] == 2 and table["ccc"] == 3
+    table.learn([["dddd", "a", "e", "f"]])  # past its entries: down to the fixed part
+    assert "bb" not in table and table[""] == 0 and table["dddd"] == 4 and table["a"] == 1

@@ -35,7 +35,14 @@ def tokenizer(path: str):
 #: Words whose ids a worker process keeps.
 WORDS_KEPT = 800_000
 #: Chunks that are a word of letters, which lower-casing keeps single and composed, and marks that no contraction begins with.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?%&$#*;:]*)")
+_MARKS = ".,!?%&$#*;:"
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def word_and_marks(chunk: str) -> tuple[str, str] | None:
+    """The word in lower case and the marks after it, of a chunk that is made of these; else None."""
+    word = chunk.rstrip(_MARKS)
+    return (word.lower(), chunk[len(word) :]) if word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)) else None
 
 
 #: Texts that lower-casing changes letter by letter.
@@ -194,7 +201,7 @@ class ChunkEncoder:
                 a = b
 
     def encode(self, chunks: list[str]) -> list[bytes]:
-        parts = [(c.lower(), "") if c.isascii() and c.isalpha() else (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(c)) else None for c in chunks]
+        parts = [(c.lower(), "") if c.isascii() and c.isalpha() else word_and_marks(c) for c in chunks]
         wanted = {p[0] for p in parts if p}
         new = wanted.difference(self.words)
         if len(self.words) + len(new) > WORDS_KEPT:
