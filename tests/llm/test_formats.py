@@ -148,6 +148,25 @@ def test_damaged_files_are_refused():
         assert media._decoded([bad])[2] is None and media._decoded([bad])[3]
 
 
+def test_samples_are_stored_by_codes_of_their_own():
+    rng = np.random.default_rng(4)
+    few = bytes(rng.choice(np.frombuffer(b"QXZ\x07", np.uint8), 19_200))  # letters that are rare elsewhere
+    line = bytes(rng.integers(0, 256, 576, dtype=np.uint8))
+    grey = np.repeat(rng.integers(0, 256, 6400, dtype=np.uint8), 3).tobytes()
+    words = " ".join(rng.choice(["ride", "группа", "über", "node"], 3000)).encode()
+    words += b" " * (-len(words) % 192)
+    for data, most in ((few, 0.30), (line * 40, 0.05), (grey, 0.40), (words, 0.35), (b"ab" * 96, 0.35), (bytes(192 * 700), 0.01)):
+        stored = webp.encode_bytes(data, 64)
+        assert len(stored) < most * len(data)
+        assert media._decoded([stored])[2] == data
+    for size in (1, 2, 3, 50):
+        data = bytes(rng.integers(0, 256, 192 * size, dtype=np.uint8))
+        assert media._decoded([webp.encode_bytes(data, 64)])[2] == data
+        for kinds, cache, refs in ((), 0, False), ((2,), 5, True), ((0, 1), 11, True):
+            px = np.frombuffer(data, np.uint8).astype(np.uint32)[: 64 * size] % 9
+            assert (webp.decode(webp.encode(px, 64, kinds, cache, refs))[2] == px).all()
+
+
 def test_media(spark):
     stored = media.store_bytes(media.text_of(docs(spark), "doc_id"))
     got = {r.doc_id: r for r in media.media_digests(media.decode_media(stored, ("doc_id", "n_bytes"))).collect()}

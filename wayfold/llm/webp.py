@@ -19,7 +19,6 @@ LITERALS, LENGTHS, DISTANCES = 256, 24, 40
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 CACHE_FACTOR = 0x1E35A7BD
 MOST_SIDE = 1 << 14
-WINDOW = 16  # bits by which runs of literals are looked up
 
 
 class WebpError(ValueError):
@@ -74,7 +73,7 @@ class BitWriter:
 
 
 @functools.lru_cache(maxsize=256)
-def canonical(lengths: tuple[int, ...]) -> dict[int, tuple[int, int]]:
+def canonical(lengths: tuple[int, ...] | bytes) -> dict[int, tuple[int, int]]:
     """symbol -> (code with its first bit lowest, bits). A single symbol takes no bits."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) == 1:
@@ -93,7 +92,7 @@ def canonical(lengths: tuple[int, ...]) -> dict[int, tuple[int, int]]:
 class PrefixCode:
     """Reads one symbol at a time through a table over as many bits as the longest code has."""
 
-    def __init__(self, lengths: tuple[int, ...]):
+    def __init__(self, lengths: tuple[int, ...] | bytes):
         codes = canonical(lengths)
         if not codes:
             raise WebpError("a prefix code has no symbols")
@@ -110,47 +109,46 @@ class PrefixCode:
 
 
 @functools.lru_cache(maxsize=256)
-def prefix_code(lengths: tuple[int, ...]) -> PrefixCode:
+def prefix_code(lengths: tuple[int, ...] | bytes) -> PrefixCode:
     return PrefixCode(lengths)
 
 
-@functools.lru_cache(maxsize=8)
-def runs_table(lengths: tuple[int, ...]) -> list[tuple[bytes, int]]:
-    """For each window of WINDOW bits the whole literals in it and their bits."""
-    codes = canonical(lengths)
-    out: list[tuple[bytes, int]] = [(b"", 0)] * (1 << WINDOW)
-    todo = [(b"", 0, 0)]
-    while todo:
-        run, code, n = todo.pop()
-        fits = [(c, m, s) for s, (c, m) in codes.items() if n + m <= WINDOW]
-        if run:
-            # windows that begin with this run; those of longer runs are filled in after it
-            out[code :: 1 << n] = [(run, n)] * (1 << (WINDOW - n))
-        todo += [(run + bytes([s]), code | c << n, n + m) for c, m, s in fits]
+@functools.cache
+def _turned(bits: int) -> np.ndarray:
+    """Each number of so many bits with their order reversed."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([2 * out, 2 * out + 1])
     return out
 
 
-#: By alphabet size, codes read lately: bits, their value, lengths. Files of one writer often repeat theirs.
-_lately: dict[int, list[tuple[int, int, tuple[int, ...]]]] = {}
+def code_arrays(lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`canonical` in arrays: symbols by length and number, codes and bits."""
+    lengths = np.frombuffer(lengths, np.uint8).astype(np.int64) if isinstance(lengths, bytes) else np.asarray(lengths, np.int64)
+    used = lengths.nonzero()[0]
+    if not len(used):
+        raise WebpError("a prefix code has no symbols")
+    if len(used) == 1:
+        return used, np.zeros(1, np.int64), np.zeros(1, np.int64)
+    n = lengths[used]
+    order = n.argsort(kind="stable")
+    symbols, n = used[order], n[order]
+    span = 1 << (n[-1] - n)
+    ends = span.cumsum()
+    if ends[-1] != 1 << n[-1]:
+        raise WebpError("a prefix code isn't complete")
+    return symbols, _turned(int(n[-1]))[ends - span], n
 
 
-def _read_lengths(r: BitReader, size: int) -> tuple[int, ...]:
-    lately = _lately.setdefault(size, [])
-    for n, value, lengths in lately:
-        if r.peek(n) == value and r.at + n <= r.end:
-            r.at += n
-            return lengths
-    start = r.at
-    lengths = _parse_lengths(r, size)
-    n, r.at = r.at - start, start
-    lately.insert(0, (n, r.peek(n), lengths))
-    del lately[4:]
-    r.at += n
-    return lengths
+def lookup(lengths) -> tuple[np.ndarray, int]:
+    """For each window of as many bits as the longest code has, 16 * symbol + bits; and the mask of such a window."""
+    symbols, _, n = code_arrays(lengths)
+    top = int(n[-1])
+    return np.repeat(symbols << 4 | n, 1 << (top - n))[_turned(top)], (1 << top) - 1
 
 
-def _parse_lengths(r: BitReader, size: int) -> tuple[int, ...]:
-    lengths = [0] * size
+def _parse_lengths(r: BitReader, size: int) -> bytes:
+    lengths = bytearray(size)
     if r.read(1):
         two = r.read(1)
         first = r.read(8 if r.read(1) else 1)
@@ -158,27 +156,39 @@ def _parse_lengths(r: BitReader, size: int) -> tuple[int, ...]:
             if s >= size:
                 raise WebpError("a symbol is outside its alphabet")
             lengths[s] = 1
-        return tuple(lengths)
+        return bytes(lengths)
     own = [0] * 19
     for k in range(4 + r.read(4)):
         own[LENGTH_ORDER[k]] = r.read(3)
-    code = prefix_code(tuple(own))
+    table, mask = lookup(own)
+    table = table.tolist()
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else size
-    at, before = 0, 8
+    at, before, bits = 0, 8, 14 * size + 64
+    v, taken = r.peek(bits), 0  # no code is longer than that
     while at < size and left:
         left -= 1
-        s = code.read(r)
+        t = table[v & mask]
+        s, n = t >> 4, t & 15
+        v >>= n
+        taken += n
         if s < 16:
             lengths[at] = s
             before = s or before
             at += 1
             continue
-        value, times = (before, 3 + r.read(2)) if s == 16 else (0, 3 + r.read(3)) if s == 17 else (0, 11 + r.read(7))
+        n = (2, 3, 7)[s - 16]
+        times = (11 if s == 18 else 3) + (v & ((1 << n) - 1))
+        v >>= n
+        taken += n
         if at + times > size:
             raise WebpError("a run of code lengths is too long")
-        lengths[at : at + times] = [value] * times
+        if s == 16:
+            lengths[at : at + times] = bytes([before]) * times
         at += times
-    return tuple(lengths)
+    r.at += taken
+    if r.at > r.end:
+        raise WebpError("the data end too early")
+    return bytes(lengths)
 
 
 # -- decoding ---------------------------------------------------------------------------------------------------------
@@ -206,12 +216,10 @@ def _image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
         meta = ((_image(r, _blocks(width, meta_bits), _blocks(height, meta_bits), False) >> np.uint32(8)) & np.uint32(0xFFFF)).tolist()
     cache_size = 1 << cache_bits if cache_bits else 0
     sizes = (LITERALS + LENGTHS + cache_size, 256, 256, 256, DISTANCES)
-    lengths = [[_read_lengths(r, n) for n in sizes] for _ in range(max(meta) + 1 if meta else 1)]
+    lengths = [[_parse_lengths(r, n) for n in sizes] for _ in range(max(meta) + 1 if meta else 1)]
     total = width * height
-    if len(lengths) == 1 and not cache_bits:
-        green, red, blue, alpha, _ = lengths[0]
-        if not any(green[LITERALS:]) and green[:LITERALS] == red == blue and sum(map(bool, alpha)) == 1 and sum(map(bool, red)) > 1:
-            return _literals(r, total, red, alpha.index(max(alpha)))
+    if len(lengths) == 1:
+        return _one_group(r, width, total, lengths[0], cache_bits)
     groups = [[prefix_code(x) for x in g] for g in lengths]
     out = [0] * total
     cache = [0] * cache_size
@@ -253,28 +261,116 @@ def _image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def _literals(r: BitReader, total: int, lengths: tuple[int, ...], alpha: int) -> np.ndarray:
-    """Images of literals whose green, red and blue share a code: a stream of bytes, some of which are looked up at once."""
-    table = runs_table(lengths)
-    first = r.at >> 3
-    b = np.frombuffer(r.data, np.uint8)[first:].astype(np.uint32)
-    window = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)).tolist()
-    pos, found, runs, want = r.at & 7, 0, [], 3 * total
-    add = runs.append
-    last = len(window) << 3
-    while found < want and pos < last:
-        run, n = table[(window[pos >> 3] >> (pos & 7)) & 0xFFFF]
-        add(run)
-        found += len(run)
-        pos += n
-    flat = b"".join(runs)
-    codes = canonical(lengths)
-    pos -= sum(codes[s][1] for s in flat[want:])
-    r.at = 8 * first + pos
-    if len(flat) < want or r.at > r.end:
+#: Bits at which codes are looked up at once, and more that one pixel's codes can take.
+SPAN, BEYOND = 1 << 14, 128
+
+
+def _one_group(r: BitReader, width: int, total: int, lengths: list[bytes], cache_bits: int) -> np.ndarray:
+    """An image of one group of codes: at every bit of a stretch it is looked up what a pixel that begins there is and where the next one begins, then the pixels that do begin are followed."""
+    (green, mg), (red, mr), (blue, mb), (alpha, ma) = map(lookup, lengths[:4])
+    distance, md = lookup(lengths[4]) if any(lengths[4]) else (np.zeros(1, np.int64), 0)
+    data = np.frombuffer(r.data + bytes(64), np.uint8)
+    left, pos, parts = total, r.at, []
+    while left > 0:
+        if pos > r.end:
+            raise WebpError("the data end too early")
+        n = min(SPAN, r.end - pos + 1)
+        b = data[pos >> 3 : (pos >> 3) + (n + BEYOND + 31 >> 3)].astype(np.int64)
+        w = ((b[:-2] | b[1:-1] << 8 | b[2:] << 16)[:, None] >> np.arange(8)).ravel()[pos & 7 :]
+        g = green[w[:n] & mg]
+        symbol = g >> 4
+        after = np.arange(n) + (g & 15)
+        x = red[w[after] & mr]
+        at = after + (x & 15)
+        y = blue[w[at] & mb]
+        at += y & 15
+        colour = symbol << 8 | x >> 4 << 16 | y >> 4
+        if ma:
+            z = alpha[w[at] & ma]
+            at += z & 15
+            colour |= z >> 4 << 24
+        else:
+            colour |= int(alpha[0]) >> 4 << 24
+        special, size, far = np.flatnonzero(symbol >= LITERALS), None, None
+        if len(special):
+            cached = special[symbol[special] >= LITERALS + LENGTHS]
+            at[cached] = after[cached]
+            copied = special[symbol[special] < LITERALS + LENGTHS]
+            if len(copied):
+                size, far = np.ones(n, np.int64), np.zeros(n, np.int64)
+                size[copied], q = _values(symbol[copied] - LITERALS, after[copied], w)
+                t = distance[w[q] & md]
+                far[copied], at[copied] = _values(t >> 4, q + (t & 15), w)
+        begin, p, to = [], 0, memoryview(at)
+        for _ in range(left):
+            begin.append(p)
+            p = to[p]
+            if p >= n:
+                break
+        k = np.array(begin, np.int64)
+        if size is None:
+            left -= len(k)
+        else:
+            ends = np.cumsum(size[k])
+            if ends[-1] >= left:  # what follows the image was read as pixels too
+                k = k[: int(np.searchsorted(ends, left)) + 1]
+                p = int(at[k[-1]])
+            left -= int(ends[len(k) - 1])
+        one = np.ones(len(k), np.int64)
+        parts.append((symbol[k], colour[k], one if size is None else size[k], one if size is None else far[k]))
+        pos += p
+    r.at = pos
+    if pos > r.end:
         raise WebpError("the data end too early")
-    g = np.frombuffer(flat, np.uint8)[:want].reshape(-1, 3).astype(np.uint32)
-    return np.uint32(alpha << 24) | g[:, 1] << np.uint32(16) | g[:, 0] << np.uint32(8) | g[:, 2]
+    if left:
+        raise WebpError("a back-reference leaves the image")
+    symbol, colour, size, far = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not (symbol >= LITERALS).any():
+        return colour.astype(np.uint32)
+    near = np.array([max(1, x + y * width) for x, y in near_offsets()])
+    far = np.where(far > 120, far - 120, near[np.minimum(far, 120) - 1])
+    if (symbol >= LITERALS + LENGTHS).any():
+        return np.array(_with_cache(symbol, colour, size, far, cache_bits), np.uint32)
+    out, ends, is_copy = np.zeros(total, np.uint32), np.cumsum(size), symbol >= LITERALS
+    out[(ends - 1)[~is_copy]] = colour[~is_copy]
+    for end, n, d in zip(ends[is_copy].tolist(), size[is_copy].tolist(), far[is_copy].tolist(), strict=True):
+        at = end - n
+        if d > at:
+            raise WebpError("a back-reference leaves the image")
+        out[at:end] = out[at - d : end - d] if d >= n else np.resize(out[at - d : at], n)
+    return out
+
+
+def _values(prefix: np.ndarray, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of prefixes whose further bits begin at `at`, and where these end."""
+    extra = np.maximum(0, (prefix - 2) >> 1)
+    more = (w[at] & 511 | w[at + 9] << 9) & ((1 << extra) - 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + more + 1), at + extra
+
+
+def _with_cache(symbol: np.ndarray, colour: np.ndarray, size: np.ndarray, far: np.ndarray, bits: int) -> list[int]:
+    """The pixels, one after the other, as a cached colour is what the last pixel of its place was."""
+    out: list[int] = []
+    cache, shift, add = [0] * (1 << bits), 32 - bits, out.append
+    first = LITERALS + LENGTHS
+    place = ((colour * CACHE_FACTOR & 0xFFFFFFFF) >> shift).tolist()
+    for s, c, p, n, d in zip(symbol.tolist(), colour.tolist(), place, size.tolist(), far.tolist(), strict=True):
+        if s < LITERALS:
+            add(c)
+            cache[p] = c
+        elif s >= first:
+            c = cache[s - first]
+            add(c)
+            cache[(c * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = c
+        else:
+            at = len(out)
+            if d > at:
+                raise WebpError("a back-reference leaves the image")
+            for k in range(at - d, at - d + n):
+                c = out[k]
+                add(c)
+                cache[(c * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = c
+    return out
 
 
 def channels(argb: np.ndarray) -> np.ndarray:
@@ -599,6 +695,19 @@ def _head(width: int, height: int, alpha: bool) -> BitWriter:
     return w
 
 
+def _palette(w: BitWriter, colours: np.ndarray, index: np.ndarray, width: int, height: int) -> tuple[np.ndarray, int]:
+    """Writes the colours; the image of their numbers, several in a pixel where they are few, and its width."""
+    c = channels(colours)
+    c[1:] -= c[:-1].copy()
+    _write_image(w, joined(c), len(colours), False)
+    bits = _palette_bits(len(colours))
+    inner = _blocks(width, bits)
+    grid = np.zeros((height, inner << bits), np.uint32)
+    grid[:, :width] = index.reshape(height, width)
+    packed = sum(grid[:, k :: 1 << bits] << np.uint32(k * (8 >> bits)) for k in range(1 << bits)) if bits else grid
+    return (packed.astype(np.uint32) << np.uint32(8) | np.uint32(255 << 24)).ravel(), inner
+
+
 def encode(px: np.ndarray, width: int, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = True, meta_bits: int = 0, block_bits: int = 2, seed: int = 0) -> bytes:
     """A lossless file of the pixels with any of the format's tools; predictor modes and colour elements are drawn from `seed`."""
     height = len(px) // width
@@ -622,87 +731,255 @@ def encode(px: np.ndarray, width: int, transforms: tuple[int, ...] = (), cache_b
             if len(colours) > 256:
                 raise WebpError("too many colours for a palette")
             w.put(len(colours) - 1, 8)
-            c = channels(colours)
-            c[1:] -= c[:-1].copy()
-            _write_image(w, joined(c), len(colours), False)
-            bits = _palette_bits(len(colours))
-            inner = _blocks(inner, bits)
-            grid = np.zeros((height, inner << bits), np.uint32)
-            grid[:, :width] = index.reshape(height, width)
-            packed = sum(grid[:, k :: 1 << bits] << np.uint32(k * (8 >> bits)) for k in range(1 << bits)) if bits else grid
-            px = (packed.astype(np.uint32) << np.uint32(8) | np.uint32(255 << 24)).ravel()
+            px, inner = _palette(w, colours, index, inner, height)
     w.put(0, 1)
     _write_image(w, px, inner, True, cache_bits, references, meta_bits)
     return riff(w.bytes())
 
 
-@functools.cache
-def text_lengths() -> tuple[int, ...]:
-    """Code lengths for the bytes of texts: from weights that follow the usual order of letters and the ranges of UTF-8."""
-    weights = [0.002] * 256
-    for k, c in enumerate(b" etaoinshrdlucmfwypvbgkjqxz"):
-        weights[c] = 3.0 / (k + 2.5)
-        if c != 32:
-            weights[c - 32] = weights[c] / 20
-    for c, v in ((b".", 0.12), (b",", 0.12), (b"\n", 0.04), (b"\xc3", 0.25)):
-        weights[c[0]] = v
-    for c in range(0xA0, 0xC0):
-        weights[c] = 0.01
-    for c in b"0123456789":
-        weights[c] = 0.02
-    return huffman_lengths(weights)
+#: Bits of a code at most in encode_bytes, so that three of them and a shift fit 64.
+MOST_BITS = 11
+#: Pixels of a back-reference at least and at most.
+LEAST_COPY, MOST_COPY = 4, 4096
 
 
-@functools.cache
-def _pairs() -> tuple[np.ndarray, np.ndarray]:
-    """Code and bits of each pair of bytes, by first + 256 * second."""
-    codes = canonical(text_lengths())
-    code, bits = (np.array([codes[s][k] for s in range(256)], np.uint64) for k in (0, 1))
-    return (code[None, :] | code[:, None] << bits[None, :]).ravel(), (bits[None, :] + bits[:, None]).ravel()
+def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """`huffman_lengths` of counts, by two queues."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    while True:
+        order = used[np.argsort(counts[used], kind="stable")]
+        w, n = counts[order].tolist(), len(order)
+        parent, i, j = [0] * (2 * n - 1), 0, n
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if i < n and (j >= k or w[i] <= w[j]):
+                    total += w[i]
+                    parent[i] = k
+                    i += 1
+                else:
+                    total += w[j]
+                    parent[j] = k
+                    j += 1
+            w.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if depth[0] <= most:
+            out[order] = depth[:n]
+            return out
+        counts = (counts + 1) >> 1
+
+
+def _put_code(w: BitWriter, lengths: np.ndarray) -> None:
+    """`_write_code`, run by run."""
+    used = np.flatnonzero(lengths)
+    if len(used) <= 2 and (not len(used) or used[-1] < 256):
+        _write_code(w, tuple(lengths.tolist()))
+        return
+    starts = [0, *((lengths[1:] != lengths[:-1]).nonzero()[0] + 1).tolist()]
+    tokens = []
+    for s, a, b in zip(lengths[starts].tolist(), starts, [*starts[1:], len(lengths)], strict=True):
+        run = b - a
+        if s:
+            tokens.append((s, 0, 0))
+            run -= 1
+        while run >= 3:
+            if s:
+                n = min(run, 6)
+                tokens.append((16, n - 3, 2))
+            else:
+                n = min(run, 138)
+                tokens.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
+            run -= n
+        tokens += [(s, 0, 0)] * run
+    own = code_lengths(np.bincount([t for t, _, _ in tokens], minlength=19), 7)
+    n = max(4, 1 + max(k for k, s in enumerate(LENGTH_ORDER) if own[s]))
+    w.put((n - 4) << 1, 5)
+    for k in range(n):
+        w.put(int(own[LENGTH_ORDER[k]]), 3)
+    w.put(0, 1)
+    codes = {s: (c, n) for s, c, n in zip(*(x.tolist() for x in code_arrays(own)), strict=True)}
+    value = at = 0
+    for t, extra, bits in tokens:
+        c, n = codes[t]
+        value |= (c | extra << n) << at
+        at += n + bits
+    w.put(value, at)
+
+
+def _copies(px: np.ndarray) -> list[tuple[int, int, int]]:
+    """(at, pixels, pixels back) of the stretches of LEAST_COPY pixels or more that stand before, found greedily: each is compared with where its first four stood last."""
+    n = len(px) - LEAST_COPY + 1
+    if n < 2:
+        return []
+    x, times = px.astype(np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        key = x[:n]
+        for k in range(1, LEAST_COPY):
+            key = key * times + x[k : k + n]
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    if not len(again):
+        return []
+    at, before = order[again + 1], order[again]
+    place = np.argsort(at)
+    out, end = [], 0
+    for a, b in zip(at[place].tolist(), before[place].tolist(), strict=True):
+        if a < end:
+            continue
+        here = px[a : a + MOST_COPY]
+        other = here != px[b : b + len(here)]
+        size = int(other.argmax())
+        size = size if other[size] else len(here)
+        if size >= LEAST_COPY:
+            out.append((a, size, a - b))
+            end = a + size
+    return out
 
 
-@functools.cache
-def _text_codes() -> tuple[int, int]:
-    """Bits between head and pixels of encode_bytes: no transform, no cache, one group of codes."""
-    w = BitWriter()
-    for _ in range(3):
-        w.put(0, 1)
-    _write_code(w, text_lengths() + (0,) * LENGTHS)
-    _write_code(w, text_lengths())
-    _write_code(w, text_lengths())
-    for s in (255, 0):
-        w.put(0b111 & ~2, 3)
-        w.put(s, 8)
-    n = 8 * len(w.done) + w.n
-    return int.from_bytes(w.bytes(), "little"), n
+def _cost(*counts: np.ndarray) -> float:
+    """Bits that symbols of these counts take, about, with their codes."""
+    total = 0.0
+    for c in counts:
+        c = c[c > 0]
+        total += float((c * np.log2(c.sum() / c)).sum()) + 5 * len(c) if len(c) else 0.0
+    return total
+
+
+def _split(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Green, red and blue."""
+    return px >> 8 & 255, px >> 16 & 255, px & 255
+
+
+def _counts(px: np.ndarray) -> list[np.ndarray]:
+    return [np.bincount(c, minlength=256) for c in _split(px)]
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_prefix_of` in arrays."""
+    v = values - 1
+    extra = np.maximum(0, np.frexp(np.maximum(v, 1).astype(float))[1] - 2)
+    return np.where(v < 4, v, 2 * (extra + 1) + (v >> extra & 1)), np.where(v < 4, 0, v & ((1 << extra) - 1)), np.where(v < 4, 0, extra)
+
+
+_OPAQUE = np.zeros(256, np.int64)
+_OPAQUE[255] = 1
+
+
+def _put_image(w: BitWriter, px: np.ndarray, width: int, plain: list[np.ndarray]) -> bytes:
+    """The main image after what `w` has: back-references, a colour cache where it makes the image smaller, and prefix codes made for the image. `plain`: the counts of its green, red and blue."""
+    copies = _copies(px)
+    at, size, back = (np.array(x, np.int64) for x in zip(*copies, strict=True)) if copies else (np.zeros(0, np.int64),) * 3
+    single = np.ones(len(px), bool)
+    for a, n, _ in copies:
+        single[a : a + n] = False
+    alone = single.nonzero()[0]
+    one = px[alone]
+    if copies:
+        plain = _counts(one)
+    bits = min(9, max(1, len(px).bit_length() - 2))
+    place = (px * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - bits)
+    order = np.argsort(place.astype(np.uint16), kind="stable")
+    hit = np.zeros(len(px), bool)
+    hit[order[1:]] = px[order[1:]] == px[order[:-1]]  # equal colours have one place
+    hit = hit[alone]
+    cached, none = _counts(one[~hit]), np.zeros(LENGTHS, np.int64)
+    cached[0] = np.concatenate([cached[0], none, np.bincount(place[alone[hit]], minlength=1 << bits)])
+    if _cost(*cached) >= _cost(*plain):
+        hit[:] = False
+        bits, cached = 0, [np.concatenate([plain[0], none]), *plain[1:]]
+    distances = np.zeros(DISTANCES, np.int64)
+    if copies:
+        far = back + 120
+        for k, (x, y) in reversed([*enumerate(near_offsets())]):
+            far[back == max(1, x + y * width)] = k + 1
+        (p, e, m), (q, f, o) = _prefixes(size), _prefixes(far)
+        cached[0][LITERALS : LITERALS + LENGTHS] = np.bincount(p, minlength=LENGTHS)
+        distances = np.bincount(q, minlength=DISTANCES)
+    lengths = [*map(code_lengths, cached), _OPAQUE, code_lengths(distances)]
+    w.put(bits << 1 | 1 if bits else 0, 5 if bits else 1)
+    w.put(0, 1)
+    for n in lengths:
+        _put_code(w, n)
+    tables = []
+    for n in lengths:
+        code, long = np.zeros((2, len(n)), np.int64)
+        if n is not _OPAQUE and (copies or n is not lengths[4]):
+            symbols, code[symbols], long[symbols] = code_arrays(n)
+        tables.append((code, long))
+    g, r, b = _split(one)
+    (gc, gn), (rc, rn), (bc, bn) = tables[:3]
+    long, x = gn[g], rn[r]
+    code = gc[g] | rc[r] << long
+    long += x
+    code |= bc[b] << long
+    long += bn[b]
+    if bits:
+        s = place[alone[hit]] + LITERALS + LENGTHS
+        code[hit], long[hit] = gc[s], gn[s]
+    if copies:
+        p, (dc, dn) = p + LITERALS, tables[4]
+        order = np.argsort(np.concatenate([alone, at, at]), kind="stable")
+        code = np.concatenate([code, gc[p] | e << gn[p], dc[q] | f << dn[q]])[order]
+        long = np.concatenate([long, gn[p] + m, dn[q] + o])[order]
+    return _packed(w, code, long)
+
+
+def _packed(w: BitWriter, code: np.ndarray, long: np.ndarray) -> bytes:
+    """What `w` has and then the codes, of at most 33 bits each."""
+    lead = 8 * len(w.done) + w.n
+    ends = np.cumsum(long) + lead
+    start = ends - long
+    word, value = start >> 5, code.astype(np.uint64) << (start & 31).astype(np.uint64)
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    words = np.zeros(int(ends[-1] >> 5) + 2, np.uint64)
+    words[word[first]] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
+    words[word[first] + 1] += np.add.reduceat(value >> np.uint64(32), first)
+    out = bytearray(words.astype("<u4").tobytes()[: (int(ends[-1]) + 7) >> 3])
+    head = w.bytes()
+    whole = lead >> 3
+    out[:whole] = head[:whole]
+    if lead & 7:
+        if len(out) == whole:
+            out.append(0)
+        out[whole] |= head[whole]
+    return bytes(out)
 
 
 def encode_bytes(data: bytes, width: int) -> bytes:
-    """A file whose opaque pixels hold `data` as red, green and blue samples: literals in one fixed prefix code, made in numpy."""
+    """A file whose opaque pixels hold `data` as red, green and blue samples, made in numpy.
+
+    Of the format's transforms a palette (up to 256 colours) or the subtraction of green is taken where an estimate of the
+    size says so; then come back-references, a colour cache and prefix codes made for the image.
+    """
     height = len(data) // (3 * width)
     if 3 * width * height != len(data):
         raise WebpError("the samples don't fill the image")
     w = _head(width, height, False)
-    w.put(*_text_codes())
-    lead = 8 * len(w.done) + w.n
-    rgb = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    flat = rgb[:, [1, 0, 2]].ravel()
-    code, bits = _pairs()
-    if len(flat) % 2:
-        raise WebpError("an even number of samples is needed")
-    pair = flat.view("<u2")
-    c, n = code[pair], bits[pair]
-    ends = np.cumsum(n) + np.uint64(lead)
-    start = ends - n
-    word, shift = start >> np.uint64(5), start & np.uint64(31)
-    value = c << shift
-    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    words = np.zeros(int(ends[-1] >> np.uint64(5)) + 2, np.uint64)
-    at = word[first].astype(np.int64)
-    words[at] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-    words[at + 1] += np.add.reduceat(value >> np.uint64(32), first)
-    out = bytearray(words.astype("<u4").tobytes()[: (int(ends[-1]) + 7) >> 3])
-    head = w.bytes()
-    out[: len(head) - 1] = head[:-1]
-    out[len(head) - 1] |= head[-1]
-    return riff(bytes(out))
+    rgb = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int64)
+    px = 255 << 24 | rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2]
+    kind, new, counts = None, px, _counts(px)
+    best = _cost(*counts)
+    green = rgb[:, 1]
+    less = 255 << 24 | (rgb[:, 0] - green & 255) << 16 | green << 8 | rgb[:, 2] - green & 255
+    if (cost := _cost(*(own := _counts(less)))) < best:
+        kind, new, counts, best = SUBTRACT_GREEN, less, own, cost
+    if len(np.unique(px[:384])) <= 256:
+        colours, index = np.unique(px, return_inverse=True)
+        if len(colours) <= 256 and 24 * len(colours) + _cost(np.bincount(index)) < best:
+            kind = PALETTE
+    if kind is not None:
+        w.put(kind << 1 | 1, 3)
+    if kind == PALETTE:
+        w.put(len(colours) - 1, 8)
+        new, inner = _palette(w, colours, index, width, height)
+        w.put(0, 1)
+        new = new.astype(np.int64)
+        return riff(_put_image(w, new, inner, _counts(new)))
+    w.put(0, 1)
+    return riff(_put_image(w, new, width, counts))
