@@ -140,6 +140,33 @@ def test_silhouettes_by_blocks(spark, monkeypatch):
     assert got == pytest.approx({"orig": sum(each) / len(each), "dest": -1.0})
 
 
+def test_evaluation_makes_no_pairs(spark, monkeypatch):
+    """Medoids, mean distances and silhouettes come from one comparison by blocks, with equal places and a cluster of one."""
+    monkeypatch.setattr(clusters, "BLOCK", 6)
+    rng = random.Random(9)
+    rows = [(u, u % 3 if u else 9, side, 35.9 + rng.random() / k, 50.7 + rng.random() / k) for k, side in ((10, "orig"), (0.05, "dest")) for u in range(25)]
+    rows += [(30, 1, side, *next(r for r in rows if r[0] == 4 and r[2] == side)[3:]) for side in ("orig", "dest")]
+    m = spark.createDataFrame(rows, "user_id long, label int, side string, lat double, lng double")
+    sse, intra, wide, least = 0.0, 0.0, 0.0, 0.0
+    for side in ("orig", "dest"):
+        of = {t: [r for r in rows if r[1:3] == (t, side)] for t in (0, 1, 2, 9)}
+        d = {(a[0], b[0]): great_circle(a[3:], b[3:]) for x in of.values() for a in x for b in x if a[0] != b[0]}
+        centre = {t: min(x, key=lambda a: (round(sum(d.get((a[0], b[0]), 0.0) for b in x), 6), a[0])) for t, x in of.items()}
+        sse += sum(great_circle(a[3:], centre[t][3:]) ** 2 for t, x in of.items() for a in x)
+        means = [sum(d[a[0], b[0]] for a in x for b in x if a is not b) / max(1, len(x) * (len(x) - 1)) for x in of.values()]
+        intra += sum(means) / 4
+        if side == "orig":
+            wide, least = max(means), min(great_circle(centre[i][3:], centre[j][3:]) for i in of for j in of if i < j)
+    want = sum(r.silhouette for r in clusters.silhouettes(m).collect()) / 2
+
+    def pairs(*_):
+        raise AssertionError("pairs of members are listed")
+
+    monkeypatch.setattr(clusters, "within", pairs)
+    got = clusters.evaluation(m).first()
+    assert (got.sse, got.intra, got.dunn, got.silhouette, got.n_clusters) == pytest.approx((sse, intra, least / wide, want, 4))
+
+
 def test_clusters_over_walking_distances(spark):
     """Sums, medoids and silhouettes against plain loops over walking distances."""
     nodes, edges, rows, n, e, r = trips(spark, 8, 12)
