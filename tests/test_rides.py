@@ -1,5 +1,6 @@
 """Ride operators against DuckDB, plain models and invariants."""
 
+import datetime
 import heapq
 import random
 
@@ -270,6 +271,48 @@ def test_folds_by_hand():
     assert commit.storage_fold([(1, "add", 1), (2, "add", 2), (3, "add", 3), (4, "add", 1), (5, "remove", 2), (6, "remove", 3)]) == [(1, "pending")]
 
 
+def test_intercity_pairs_by_blocks(spark, monkeypatch):
+    """Against plain loops: destinations near and far, routes that overlap, one without a route, blocks smaller than slots."""
+    rng = random.Random(3)
+    people, ways = [], {}
+    for u in range(60):
+        lat, lng, hours = 35.0 + rng.random() * 2, 50.0 + rng.random() / 5, rng.choice([0, 10, 29, 30, 31, 59, 61, 90])
+        people.append((u, rng.choice(["x", None]), datetime.datetime(2024, 1, 1, 9) + datetime.timedelta(minutes=hours), lat, lng, rng.choice([1, 2])))
+        if u % 9:
+            ways[u] = [(35.0 + (lat - 35.0) * k / 4, 50.0 + (lng - 50.0) * k / 4) for k in range(5 + u % 2)]
+    r = spark.createDataFrame(people, "user_id long, origin_city string, stored_at timestamp, destination_lat double, destination_lng double, passengers int")
+    routes = spark.createDataFrame([*ways.items()], "user_id long, pts array<struct<lat double, lng double>>")
+
+    def overlap(a, b):
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        return sum(any(great_circle(p, q) <= 20_000 for q in long) for p in short) / len(short) >= 0.8
+
+    want, by_route = set(), 0
+    for a in people:
+        for b in people:
+            if a[0] < b[0] and a[1] == b[1] and abs((a[2] - b[2]).total_seconds()) <= 1800 and a[5] + b[5] <= 3:
+                near = great_circle(a[3:5], b[3:5]) <= 30_000
+                over = not near and a[0] in ways and b[0] in ways and overlap(ways[a[0]], ways[b[0]])
+                by_route += over
+                if near or over:
+                    want.add((a[0], b[0]))
+    assert by_route > 3
+    for block in (2_000, 4):
+        monkeypatch.setattr(intercity, "BLOCK", block)
+        rows = intercity.matching_pairs(r, routes).collect()
+        assert sorted((p.a, p.b) for p in rows) == sorted(want)
+        assert all(abs(p.dest_km * 1000 - great_circle(people[p.a][3:5], people[p.b][3:5])) < 1e-3 for p in rows)
+
+
+def test_intercity_fold_reads_mates_only():
+    class Riders(list):
+        def __getitem__(self, k):
+            raise AssertionError("later riders are gone through one by one")
+
+    n = 20_000
+    assert commit.intercity_fold(Riders(range(n)), dict.fromkeys(range(n), 1), {(u, u + 1) for u in range(0, n, 2)}) == [[u, u + 1] for u in range(0, n, 2)]
+
+
 def test_intercity_null_cities_are_one(spark):
     rows = [(1, None, "2024-01-01 00:29:00", 1), (2, None, "2024-01-01 00:31:00", 1), (3, "a", "2024-01-01 00:29:00", 1), (4, "a", "2024-01-01 01:29:00", 1), (5, None, "2024-01-01 00:30:00", 3)]
     r = spark.createDataFrame(rows, "user_id long, origin_city string, stored_at string, passengers int").selectExpr("*", "35.9D AS destination_lat", "50.7D AS destination_lng").withColumn("stored_at", geo.F.to_timestamp("stored_at"))

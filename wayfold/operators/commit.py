@@ -223,19 +223,24 @@ def pair_groups(pairs: DataFrame, how: str, removed: Iterable[int] = ()) -> Data
 
 def intercity_fold(users: list[int], passengers: dict[int, int], may: set[tuple[int, int]], size: int = 3) -> list[list[int]]:
     """Each first unused user gathers later unused ones who may ride with it, while seats are left; single users are groups too."""
+    place, mates = {u: n for n, u in enumerate(users)}, {}
+    for u, v in may:
+        if u in place and place.get(v, -1) > place[u]:
+            mates.setdefault(u, []).append(v)
     used: set[int] = set()
     out = []
-    for n, u in enumerate(users):
+    for u in users:
         if u in used:
             continue
-        group = [u]
+        group, taken = [u], passengers[u]
         used.add(u)
-        for v in users[n + 1 :]:
+        for v in sorted(mates.get(u, ()), key=place.__getitem__):
             if len(group) >= size:
                 break
-            if v not in used and (u, v) in may and sum(passengers[x] for x in group) + passengers[v] <= size:
+            if v not in used and taken + passengers[v] <= size:
                 group.append(v)
                 used.add(v)
+                taken += passengers[v]
         out.append(group)
     return out
 
