@@ -454,3 +454,27 @@ def test_sql_agrees_on_the_small_table(spark):
         df = f(spark, sf)
         want = con.sql(sql)
         assert sorted(tuple(r[c] for c in want.columns) for r in df.collect()) == sorted(want.fetchall())
+
+
+def test_pieces_in_one_pass_over_words():
+    """Words are hashed where they are met first and never gone through before; pieces are those of a plain reading, also with more than 16 bits of them."""
+    rng = random.Random(6)
+    texts = ["", "\n \n", *("\n".join(" ".join(rng.choices(["Ride", "node", "x", "é", "street"], k=rng.randint(0, 60))) for _ in range(rng.randint(1, 5))) for _ in range(60))]
+    known = substring.word_codes()
+    known.entries = 3
+    asked = []
+    known.of = lambda w, of=known.of: asked.append(w) or of(w)
+    p = substring.Pieces.of(texts, known, 5)
+    assert sorted(asked) == sorted({w for t in texts for w in t.encode().lower().split()})
+    at = 0
+    for owner, word, words, size in zip(p.owner, p.word, p.words, p.sizes):
+        own = texts[owner].encode().lower().split()[word : word + words]
+        codes = np.array([int.from_bytes(hashlib.md5(w).digest()[:8], "big") for w in own], np.uint64)
+        assert (p.shingles[at : at + size] == np.unique(substring.shingle_hashes(codes, 5))).all()
+        at += size
+    assert at == len(p.shingles)
+    known.learn()
+    assert not known  # it had grown past `entries`
+    h, group = np.array(rng.choices(range(1 << 40), k=500), np.uint64), np.sort(np.array(rng.choices(range(70_000), k=500)))
+    for g in (group, group[:100] % 7 * 0, group[:0]):
+        assert (substring.in_order(h[: len(g)], g) == np.lexsort((h[: len(g)], g))).all()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import ChunkTable, matching, row_key, scratch, sendable, table, text_of, written
+from wayfold.llm.common import WordTable, matching, row_key, scratch, sendable, table, text_of, written
 from wayfold.llm.similar import components, mix, nodes_of, parity, set_hashes, shingle_sets, wide_parity
 
 #: What a posting costs beside a subset's row where nothing was measured.
@@ -131,8 +131,8 @@ def shingle_statistics(rows: DataFrame, size: int, percent: int) -> tuple[np.nda
     return np.ascontiguousarray(often.column("e").to_numpy()[::-1]).view(np.uint64), (sums.square / sums.n if sums.n else 1.0)
 
 
-def word_table() -> ChunkTable:
-    return ChunkTable(lambda new: map(xxhash.xxh3_64_intdigest, new))
+def word_table() -> WordTable:
+    return WordTable(xxhash.xxh3_64_intdigest)
 
 
 def words_of(text: str) -> list[bytes]:

@@ -10,6 +10,7 @@ lists are clusters that no link leaves, and within these the exact sets meet, ea
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def shingle_sets(lists: list[list], table: dict, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each list of words; a shorter list is one shingle, an empty list gives none."""
     ends = np.cumsum([len(x) for x in lists])
-    words = np.fromiter((table[w] for x in lists for w in x), np.uint64, int(ends[-1]) if len(lists) else 0)
+    words = np.fromiter(map(table.__getitem__, itertools.chain.from_iterable(lists)), np.uint64, int(ends[-1]) if len(lists) else 0)
     shingles = shingle_hashes(words, size)
     at = 0
     for end in ends:
