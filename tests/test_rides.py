@@ -313,6 +313,17 @@ def test_intercity_fold_reads_mates_only():
     assert commit.intercity_fold(Riders(range(n)), dict.fromkeys(range(n), 1), {(u, u + 1) for u in range(0, n, 2)}) == [[u, u + 1] for u in range(0, n, 2)]
 
 
+def test_bands_are_made_of_the_functions_they_read(spark):
+    from wayfold.operators import lsh
+
+    nodes = np.arange(50, 90)
+    assert (lsh.banded_hashes(nodes) == lsh.hashes(nodes)[:, : lsh.BANDS]).all()
+    o, d = ([lsh.hashes(x).min(0).tolist()] for x in (nodes[:20], nodes[15:]))
+    rows = spark.createDataFrame([(*o, *d), (o[0][: lsh.BANDS], d[0][: lsh.BANDS])], "os array<long>, ds array<long>")
+    whole, half = (r.b for r in rows.select(lsh.bands(lsh.merged(geo.F.col("os"), geo.F.col("ds"))).alias("b")).collect())
+    assert whole == half and len(half) == lsh.BANDS and None not in half
+
+
 def test_intercity_null_cities_are_one(spark):
     rows = [(1, None, "2024-01-01 00:29:00", 1), (2, None, "2024-01-01 00:31:00", 1), (3, "a", "2024-01-01 00:29:00", 1), (4, "a", "2024-01-01 01:29:00", 1), (5, None, "2024-01-01 00:30:00", 3)]
     r = spark.createDataFrame(rows, "user_id long, origin_city string, stored_at string, passengers int").selectExpr("*", "35.9D AS destination_lat", "50.7D AS destination_lng").withColumn("stored_at", geo.F.to_timestamp("stored_at"))

@@ -30,6 +30,11 @@ def hashes(nodes: np.ndarray) -> np.ndarray:
     return np.fmod(np.fmod(nodes.astype(np.int64)[:, None] * a + b, PRIME), RANGE)
 
 
+def banded_hashes(nodes: np.ndarray) -> np.ndarray:
+    """The functions that `bands` reads, in half the columns of `hashes`."""
+    return hashes(nodes)[:, :BANDS]
+
+
 def signatures(near: DataFrame, key: str = "src") -> DataFrame:
     """(key, signature): the least value of each hash function over the nodes of a key; one aggregation, combined map-side."""
     least = [F.min(hash_of(F.col("node"), a, b)) for a, b in coefficients()]
