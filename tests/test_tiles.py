@@ -58,6 +58,28 @@ def test_pairs_by_cells_are_those_of_whole_tables(spark, located):
     assert signed == {r.src: r.signature for r in lsh.signatures(net.nearest(n.selectExpr("node_id AS src"))).collect()}
 
 
+def test_trips_are_searched_by_tiles_to_their_ends(spark, located, monkeypatch):
+    """Neither the graph nor all nodes within the cutoff are made for trips; without places the plain search gives the same."""
+    n, e, edges = located
+    rng = random.Random(8)
+    place = {r.node_id: (r.lat, r.lng) for r in n.collect()}
+    trips = {u: (rng.randrange(70), rng.randrange(70)) for u in range(150)} | {200: (3, 3), 201: (69, 4), 202: (4, 69)}
+    off = lambda k: (place[k][0] + 1e-6, place[k][1])
+    r = spark.createDataFrame([(u, *place[a], *off(b)) for u, (a, b) in trips.items()], "user_id long, origin_lat double, origin_lng double, destination_lat double, destination_lng double")
+    nowhere = n.unionByName(spark.createDataFrame([(500, None, None)], "node_id long, lat double, lng double"))
+    plain = {x.user_id: x.dist_m for x in network.walking_distances(r, nowhere, e.unionByName(spark.createDataFrame([(500, 500, 1.0)], e.schema)), 3000.0).collect()}
+
+    def refuse(*_):
+        raise AssertionError("all nodes within the cutoff are listed")
+
+    monkeypatch.setattr(network, "shortest", refuse)
+    got = {x.user_id: x.dist_m for x in network.walking_distances(r, n, e, 3000.0).collect()}
+    assert got == pytest.approx(plain) and len(got) == 153
+    reach = {s: dijkstra(edges, s, 3000.0) for s in range(70)}
+    hit = {u: reach[a][b] for u, (a, b) in trips.items() if a != b and b in reach[a]}
+    assert len(hit) > 20 and {u: got[u] for u in hit} == pytest.approx(hit)
+
+
 def test_unplaced_nodes_do_not_fit(spark, located):
     n, e, _ = located
     assert not Network(n.where("node_id <> 3"), e, 8, 1500.0).fits
