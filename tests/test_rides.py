@@ -304,6 +304,18 @@ def test_intercity_pairs_by_blocks(spark, monkeypatch):
         assert all(abs(p.dest_km * 1000 - great_circle(people[p.a][3:5], people[p.b][3:5])) < 1e-3 for p in rows)
 
 
+def test_intercity_routes_are_not_broadcast(spark):
+    """However small Spark takes the routes for."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        df = intercity.matching_pairs(fx.ride_intercity(spark, SF), fx.route(spark, SF))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [x for x in plan.splitlines() if "Join" in x and "LeftOuter" in x]
+    assert joins and not [x for x in joins if "Broadcast" in x]
+
+
 def test_intercity_fold_reads_mates_only():
     class Riders(list):
         def __getitem__(self, k):

@@ -91,7 +91,8 @@ def matching_pairs(requests: DataFrame, routes: DataFrame, minutes: float = 30,
     one = requests.where("stored_at IS NOT NULL AND user_id IS NOT NULL AND passengers IS NOT NULL").select(*cols, slot.alias("slot"))
     sizes = one.groupBy("origin_city", "slot").agg(F.count("*").alias("n")).groupBy(F.col("origin_city").alias("_city")).agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks"))
     one = one.join(sizes, F.col("origin_city").eqNullSafe(F.col("_city"))).drop("_city").withColumn("own", F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int"))
-    one = one.join(routes.select("user_id", lat, lng).dropDuplicates(["user_id"]), "user_id", "left")
+    # Spark takes an array for one element, so it may think all routes small enough to be broadcast
+    one = one.join(routes.select("user_id", lat, lng).dropDuplicates(["user_id"]).hint("merge"), "user_id", "left")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = one.withColumns({"i": F.col("own"), "j": every, "kind": F.lit(0)})
     later = one.withColumns({"i": every, "j": F.col("own"), "kind": F.lit(2), "slot": F.col("slot") - 1})
