@@ -12,7 +12,8 @@ import pytest
 import __spark_entry__ as entry
 from wayfold.functions import geo
 from wayfold.operators import bucketing, clusters, commit, cosine, intercity, network, storage
-from wayfold.plans import registry
+from wayfold.plans import folds, registry
+from wayfold.plans import network as plans
 from wayfold.sources import fixtures as fx
 from wayfold.sources import registry as sources
 from wayfold.streaming import grouping
@@ -246,6 +247,20 @@ def test_parts_fold_as_the_whole(spark, removed):
     assert sorted((r.first_user, tuple(r.users), r.orig_node, r.dest_node) for r in got) == global_fold(near, removed)
 
 
+@pytest.mark.parametrize("name", ["mpb_groups", "mpb_remove"])
+def test_groups_read_near_nodes_of_linked_riders_only(spark, monkeypatch, name):
+    """As from the near nodes of all riders, which are not made."""
+    near = network.checkpointed(plans.near(spark, SF))
+    rows = lambda df: sorted((r.first_user, tuple(r.users), r.orig_node, r.dest_node) for r in df.collect())
+    want = rows(commit.meeting_groups(near, network.checkpointed(bucketing.pairs(near)), folds.REMOVED if name == "mpb_remove" else ()))
+
+    def refuse(*_):
+        raise AssertionError("near nodes of all riders are made")
+
+    monkeypatch.setattr(plans, "near", refuse)
+    assert want and rows(registry.QUERIES[name](spark, SF)) == want
+
+
 def test_group_invariants():
     for seed in range(10):
         near = riders(seed)

@@ -131,6 +131,20 @@ def _near_of(data: pd.DataFrame) -> dict[int, dict[str, dict[int, float]]]:
 _GROUPS = "first_user long, users array<long>, orig_node long, dest_node long"
 
 
+def _meeting_edges(pairs: DataFrame, removed: Iterable[int]) -> DataFrame:
+    """The pairs (a, b) that can influence each other in `meeting_groups`."""
+    limit = most_total() * (3.0 if frozenset(removed) else 1.5)
+    return pairs.where(F.col("total") <= limit).select(F.col("user_id").alias("a"), F.col("cand_id").alias("b"))
+
+
+def meeting_riders(who: DataFrame, pairs: DataFrame, removed: Iterable[int] = ()) -> DataFrame:
+    """(user_id, side, src): the ends of those riders (who: user_id, o, d) whose near nodes `meeting_groups` reads. The others have no group, so their near nodes need not be rows."""
+    edges = _meeting_edges(pairs, removed)
+    linked = edges.select(F.col("a").alias("user_id")).union(edges.select("b")).distinct()
+    ends = F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("src")) for side, c in (("orig", "o"), ("dest", "d"))))
+    return who.join(linked.hint("merge"), "user_id", "left_semi").select("user_id", F.inline(ends))
+
+
 def meeting_groups(near: DataFrame, pairs: DataFrame, removed: Iterable[int] = ()) -> DataFrame:
     """Groups by meeting points of riders (near: user_id, side, node, dist) arriving in order of id; `removed` leave afterwards.
 
@@ -138,9 +152,7 @@ def meeting_groups(near: DataFrame, pairs: DataFrame, removed: Iterable[int] = (
     a group of three are no edges: a third member's score is at least two thirds of the pair's, a third after removals.
     """
     gone = frozenset(removed)
-    limit = most_total() * (3.0 if gone else 1.5)
-    edges = pairs.where(F.col("total") <= limit).select(F.col("user_id").alias("a"), F.col("cand_id").alias("b"))
-    own = parts(edges).select(F.col("id").alias("user_id"), "part")
+    own = parts(_meeting_edges(pairs, gone)).select(F.col("id").alias("user_id"), "part")
 
     def fold(data: pd.DataFrame) -> pd.DataFrame:
         riders = _near_of(data)
@@ -151,7 +163,8 @@ def meeting_groups(near: DataFrame, pairs: DataFrame, removed: Iterable[int] = (
             state.remove(u)
         return pd.DataFrame(state.rows(), columns=["first_user", "users", "orig_node", "dest_node"])
 
-    return near.join(own, "user_id").groupBy("part").applyInPandas(fold, _GROUPS)
+    # near nodes come from a Python step, whose size Spark does not know: no broadcast
+    return near.join(own.hint("merge"), "user_id").groupBy("part").applyInPandas(fold, _GROUPS)
 
 
 def minhash_fold(rows: Iterable[tuple[int, int, float]], users: Iterable[int], removed: Iterable[int] = ()) -> list[list[int]]:

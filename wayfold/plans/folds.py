@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import point_in_circle
-from wayfold.operators import bucketing, clusters, commit, intercity, lsh
+from wayfold.operators import clusters, commit, intercity, lsh
 from wayfold.operators import network as net
 from wayfold.plans import network as plans
 from wayfold.plans.base import query
@@ -16,8 +16,9 @@ REMOVED = range(5, 10_000, 17)
 
 
 def _meeting(spark, d, removed=()):
-    near = net.checkpointed(plans.near(spark, d))
-    return commit.meeting_groups(near, net.checkpointed(bucketing.pairs(near)), removed)
+    scored, who, network = plans.meeting_pairs(spark, d)
+    pairs = net.checkpointed(scored.select("user_id", "cand_id", "total"))
+    return commit.meeting_groups(network.nearest(commit.meeting_riders(who, pairs, removed), ranked=False).drop("src"), pairs, removed)
 
 
 @query()
