@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 from wayfold.functions import geo
-from wayfold.operators import bucketing, clusters, commit, cosine, intercity, network, storage
+from wayfold.operators import bucketing, clusters, commit, cosine, farfield, intercity, network, storage
 from wayfold.plans import folds, registry
 from wayfold.plans import network as plans
 from wayfold.sources import fixtures as fx
@@ -142,6 +142,50 @@ def test_silhouettes_by_blocks(spark, monkeypatch):
     assert got == pytest.approx({"orig": sum(each) / len(each), "dest": -1.0})
 
 
+def test_far_places_add_up_as_pair_by_pair():
+    """A town, a long strip, the whole globe (poles, date line, antipodes) and equal places; along a strip the work is less than all pairs."""
+    rng = np.random.default_rng(3)
+    n = 6000
+    globe = np.degrees(np.arcsin(rng.uniform(-1, 1, n))), rng.uniform(-180, 180, n)
+    for lat, lng, most in ((35 + rng.random(n) / 5, 50 + rng.random(n) / 5, 9.0), (35 + 24 * rng.random(n), 50 + rng.random(n) / 20, 0.5), (*globe, 9.0), (np.full(n, 35.0), 50.0 + (np.arange(n) % 2), 9.0)):
+        lat, lng, group = np.radians(lat), np.radians(lng), rng.integers(0, 5, n)
+        seen, plain = 0, farfield.half_angles
+
+        def counted(a, b):
+            nonlocal seen
+            seen += a.shape[1] * b.shape[1]
+            return plain(a, b)
+
+        farfield.half_angles = counted
+        try:
+            got = farfield.sums(lat, lng, farfield.Tree(lat, lng, group, 5))
+        finally:
+            farfield.half_angles = plain
+        assert seen < most * n * n
+        for k in range(0, n, 97):
+            q = np.sin((lat - lat[k]) / 2) ** 2 + np.cos(lat) * np.cos(lat[k]) * np.sin((lng - lng[k]) / 2) ** 2
+            want = np.bincount(group, 2 * 6371000 * np.arcsin(np.sqrt(np.minimum(q, 1))), 5)
+            assert got[k] == pytest.approx(want, rel=1e-11, abs=1e-6)
+
+
+def test_silhouettes_make_no_row_for_a_member_and_a_cluster(spark, monkeypatch):
+    """Slices and boxes smaller than clusters, a rider in two clusters and one without a place."""
+    monkeypatch.setattr(clusters, "SLICE", 7)
+    rng = random.Random(14)
+    rows = [(u, u % 4, "orig", 35.9 + rng.random() / 10, 50.7 + rng.random() / 10) for u in range(40)] + [(5, 3, "orig", 35.91, 50.72), (50, 0, "orig", None, 50.7)]
+    m = spark.createDataFrame(rows, "user_id long, label int, side string, lat double, lng double")
+    far = {}
+    for r in clusters.far_sums(m.where("lat IS NOT NULL")).collect():
+        far.setdefault((r.user_id, r.label), {})[r.to] = r.s, r.n
+    monkeypatch.setattr(clusters, "far_sums", None)
+    got = {(r.user_id, r.label): r for r in clusters.member_sums(m).collect()}
+    assert got.keys() == far.keys() | {(50, 0)}
+    for (u, label), to in far.items():
+        r, (s, n) = got[u, label], to[label]
+        assert (r.s, r.n, r.b) == pytest.approx((s, n, min(x / k for t, (x, k) in to.items() if t != label)))
+    assert (got[50, 0].n, got[50, 0].b) == (0, None)
+
+
 def test_evaluation_makes_no_pairs(spark, monkeypatch):
     """Medoids, mean distances and silhouettes come from one comparison by blocks, with equal places and a cluster of one."""
     monkeypatch.setattr(clusters, "BLOCK", 6)
