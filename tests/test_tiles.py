@@ -58,6 +58,19 @@ def test_pairs_by_cells_are_those_of_whole_tables(spark, located):
     assert signed == {r.src: r.signature for r in lsh.signatures(net.nearest(n.selectExpr("node_id AS src"))).collect()}
 
 
+def test_sides_are_scored_in_the_tasks_of_tiles(spark, located):
+    """As from the table of near nodes, with users of one node, one without edges, and pairs across tiles."""
+    n, e, _ = located
+    rng = random.Random(12)
+    at = spark.createDataFrame([(u, s, rng.choice([69, rng.randrange(70), rng.randrange(12)])) for u in range(80) for s in ("orig", "dest")], "user_id long, side string, src long")
+    rows = lambda df: sorted((r.user_id, r.cand_id, r.side, r.shared, round(r.score, 6), r.node) for r in df.collect())
+    for k, cutoff in ((8, 1500.0), (5, 300.0)):
+        net = Network(n, e, k, cutoff)
+        near = network.checkpointed(net.nearest(at, ranked=False).drop("src"))
+        want = rows(bucketing.side_scores(near))
+        assert len(want) > 100 and rows(net.partners(at)) == want
+
+
 def test_trips_are_searched_by_tiles_to_their_ends(spark, located, monkeypatch):
     """Neither the graph nor all nodes within the cutoff are made for trips; without places the plain search gives the same."""
     n, e, edges = located
